@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("chat_format", "quality_rules")
+MODULES = ("chat_format", "quality_rules", "simhash")
 
 
 def queries() -> dict[str, Callable]:
