@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("chat_format", "decontaminate", "quality_rules", "simhash")
+MODULES = ("chat_format", "decontaminate", "quality_rules", "simhash", "token_output")
 
 
 def queries() -> dict[str, Callable]:
