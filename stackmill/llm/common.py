@@ -59,3 +59,13 @@ def words_of(col: Column) -> Column:
 def partitions_for(spark: SparkSession, amount: float, per_partition: float) -> int:
     """Partitions so that each holds about per_partition, never fewer than the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(amount / per_partition) + 1)
+
+
+def crc_fold(id_col: Column, n: int) -> Column:
+    """crc32 of the id as text, modulo n; null ids give null."""
+    return F.crc32(id_col.cast("string").cast("binary")) % n
+
+
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, the same ones for the same keys: those whose key hashes lowest."""
+    return df.orderBy(F.xxhash64(key), key).limit(n)
