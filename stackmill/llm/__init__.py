@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("chat_format", "decontaminate", "pu_quality", "quality_rules", "simhash", "token_output")
+MODULES = ("chat_format", "decontaminate", "pu_quality", "quality_rules", "simhash", "token_output", "toxicity")
 
 
 def queries() -> dict[str, Callable]:
