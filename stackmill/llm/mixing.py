@@ -50,16 +50,26 @@ def _bisect(holds, low: float = 0.0, high: float = 1.0, steps: int = 60) -> floa
     return high
 
 
-def solve_exponent(tokens: list[int], budget: float, target_entropy: float | None = None, max_repeat: float | None = None) -> float:
-    """Entropy falls and the greatest repetition falls as the exponent rises from 0 to 1. A limit that not even exponent 1
-    meets (a budget over max_repeat times all tokens) gives exponent 1."""
+def whole_budget(tokens: list[int], weights: list[float]) -> float:
+    """The least budget with which every source gets a full pass at these weights."""
+    return max(t / w for t, w in zip(tokens, weights) if t > 0)
+
+
+def solve_exponent(tokens: list[int], budget: float | None, target_entropy: float | None = None, max_repeat: float | None = None) -> float:
+    """Entropy falls and the greatest repetition falls as the exponent rises from 0 to 1. budget None: whole_budget. A
+    limit that not even exponent 1 meets (a budget over max_repeat times all tokens) gives exponent 1."""
     if not any(t > 0 for t in tokens):
         return 1.0
     exponent = 0.0
     if target_entropy is not None:
         exponent = _bisect(lambda x: entropy(weights_at(tokens, x)) <= target_entropy or x >= 1.0)
     if max_repeat is not None:
-        worst = lambda x: max(budget * w / t for w, t in zip(weights_at(tokens, x), tokens) if t > 0)
+
+        def worst(x: float) -> float:
+            ws = weights_at(tokens, x)
+            spent = whole_budget(tokens, ws) if budget is None else budget
+            return max(spent * w / t for w, t in zip(ws, tokens) if t > 0)
+
         exponent = max(exponent, _bisect(lambda x: worst(x) <= max_repeat or x >= 1.0))
     return exponent
 
@@ -73,8 +83,9 @@ def place_hash() -> Column:
     return F.xxhash64(F.col("doc_id"), F.col("source"), F.lit(SEED)).bitwiseAND(F.lit((1 << 63) - 1))
 
 
-def plan(counted: DataFrame, budget: float | None = None, flatten: float = FLATTEN, max_repeat: float = MAX_REPEAT) -> DataFrame:
-    """counted: source, n_tokens, h for every document. One row a source: weight, exponent, target_tokens, passes, blocks,
+def plan(counted: DataFrame, budget: float | str = "total", flatten: float = FLATTEN, max_repeat: float = MAX_REPEAT) -> DataFrame:
+    """counted: source, n_tokens, h for every document. budget: tokens, "total" (as many as there are) or "whole" (every
+    source gets a full pass at least, so that no document is lost). One row a source: weight, exponent, target_tokens, passes, blocks,
     cut_block, cut_hash."""
     spark = counted.sparkSession
     stats = counted.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")).limit(MAX_SOURCES + 1).collect()
@@ -82,12 +93,15 @@ def plan(counted: DataFrame, budget: float | None = None, flatten: float = FLATT
         raise ValueError(f"more than {MAX_SOURCES} sources")
     stats = sorted((r for r in stats if r["tokens"]), key=lambda r: (r["source"] is not None, r["source"]))
     tokens = [r["tokens"] for r in stats]
-    budget = float(sum(tokens)) if budget is None else float(budget)
+    spent = None if budget == "whole" else float(sum(tokens)) if budget == "total" else float(budget)
     natural, level = entropy(weights_at(tokens, 1.0)) if tokens else 0.0, math.log(max(1, len(tokens)))
-    exponent = solve_exponent(tokens, budget, natural + flatten * (level - natural), max_repeat)
-    rows = []
-    for r, w in zip(stats, weights_at(tokens, exponent) if tokens else []):
-        target = w * budget
+    exponent = solve_exponent(tokens, spent, natural + flatten * (level - natural), max_repeat)
+    rows, weights = [], weights_at(tokens, exponent) if tokens else []
+    spent = whole_budget(tokens, weights) if spent is None and tokens else spent
+    for r, w in zip(stats, weights):
+        target = w * spent
+        if budget == "whole":
+            target = max(target, r["tokens"])  # but for rounding it is
         passes = int(target // r["tokens"])
         rows.append((r["source"], w, exponent, target, passes, max(1, -(-r["docs"] // BLOCK_DOCS)), target - passes * r["tokens"]))
     sources = spark.createDataFrame(rows, f"source {counted.schema['source'].dataType.simpleString()}, weight double, exponent double, target_tokens double, passes long, blocks long, rest double")
@@ -138,7 +152,7 @@ def copies_of(docs: DataFrame, sources: DataFrame) -> DataFrame:
     return mixed.withColumn("mix_order", F.xxhash64("source", "mix_block", "mix_pass", F.lit(SEED)))
 
 
-def mix(docs: DataFrame, budget: float | None = None, flatten: float = FLATTEN, max_repeat: float = MAX_REPEAT) -> DataFrame:
+def mix(docs: DataFrame, budget: float | str = "total", flatten: float = FLATTEN, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """The mixed documents, with their own columns: a document comes as often as it has copies."""
     return copies_of(docs, plan(counted_docs(docs), budget, flatten, max_repeat)).select(*[F.col(c) for c in docs.columns])
 

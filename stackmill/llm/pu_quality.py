@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import crc_fold, hashed_sample, stash, table
+from stackmill.llm.common import crc_fold, hashed_sample, table
 
 FIT_ROWS = 20_000
 FEATURES = ("symbols", "bars", "marks", "digits", "capitals", "capital_words", "non_ascii", "word_length", "long_words", "distinct", "neighbours", "top_word", "dup_lines", "lines", "stops", "words")
@@ -67,15 +67,18 @@ def features(data: bytes) -> list[float]:
     ]
 
 
+def _rows(texts: pa.Array) -> list[list[float]]:
+    return [features(t.as_buffer().to_pybytes()) if t.is_valid else [0.0] * len(FEATURES) for t in texts]
+
+
 def text_features(docs: DataFrame) -> DataFrame:
-    """doc_id, x (array of FEATURES)."""
+    """doc_id, text -> x (array of FEATURES)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_buffer().to_pybytes()) if t.is_valid else [0.0] * len(FEATURES) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(_rows(batch.column(0)), pa.list_(pa.float32()))], ["x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, x array<float>")
+    return docs.select("text").mapInArrow(run, "x array<float>")
 
 
 class PUModel:
@@ -135,20 +138,21 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(model.score(unlabelled).mean() / max(c, 1e-6), 0.05, 0.99))
 
 
-def _matrix(df: DataFrame) -> np.ndarray:
-    rows = df.select("x").toPandas()["x"]
+def _matrix(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
+    """Features of the documents with the given ids (at most FIT_ROWS ids, so they may be broadcast)."""
+    rows = text_features(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")).limit(most).toPandas()["x"]
     return np.array(rows.tolist(), np.float32).reshape(-1, len(FEATURES))
 
 
-def fit(xs: DataFrame, labels: DataFrame, trained: "F.Column", fit_rows: int = FIT_ROWS) -> PUModel | None:
-    """xs: doc_id, x. labels: doc_id, quality. trained: condition on doc_id for rows whose labels may be read. None without positives."""
+def fit(docs: DataFrame, labels: DataFrame, trained: "F.Column", fit_rows: int = FIT_ROWS) -> PUModel | None:
+    """trained: condition on doc_id for rows whose labels may be read. None without positives. Only the sampled texts are
+    turned into features."""
     known = labels.filter(trained & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     if not counts.get(1):
         return None
-    positives = xs.join(F.broadcast(hashed_sample(known.filter("quality = 1"), "doc_id", fit_rows)), "doc_id", "left_semi")
-    positive = _matrix(positives.limit(2 * fit_rows))
-    unlabelled = _matrix(hashed_sample(xs.filter(trained), "doc_id", fit_rows))
+    positive = _matrix(docs, hashed_sample(known.filter("quality = 1"), "doc_id", fit_rows), 2 * fit_rows)
+    unlabelled = _matrix(docs, hashed_sample(docs.select("doc_id").filter(trained), "doc_id", fit_rows), 2 * fit_rows)
     if not len(positive) or not len(unlabelled):
         return None
     total = sum(counts.values())
@@ -156,31 +160,35 @@ def fit(xs: DataFrame, labels: DataFrame, trained: "F.Column", fit_rows: int = F
     return fit_nnpu(positive, unlabelled, min(max(prior, 0.01), 0.99))
 
 
-def score(xs: DataFrame, model: PUModel | None) -> DataFrame:
-    """doc_id, score."""
-    sent = xs.sparkSession.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: PUModel | None, name: str = "score") -> DataFrame:
+    """docs with a score column added, in one pass over the texts and without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop(name)
+    columns, where = docs.columns, docs.columns.index("text")
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{name}` double"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
-            s = np.full(len(x), 0.5) if sent.value is None else sent.value.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], ["doc_id", "score"])
+            if sent.value is None:
+                s = np.full(batch.num_rows, 0.5)
+            else:
+                s = sent.value.score(np.array(_rows(batch.column(where)), np.float32).reshape(-1, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], [*columns, name])
 
-    return xs.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, schema)
 
 
 def in_training(doc_id) -> "F.Column":
     return F.coalesce(crc_fold(doc_id, 3) != 1, F.lit(True))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score for all documents; texts are read once, their features written to the shared folder."""
-    xs = stash(text_features(docs), "quality-features")
-    return score(xs, fit(xs, labels, in_training(F.col("doc_id"))))
+def quality_scores(docs: DataFrame, labels: DataFrame, name: str = "score") -> DataFrame:
+    """docs with the score of every document."""
+    return score(docs, fit(docs, labels, in_training(F.col("doc_id"))), name)
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 

@@ -162,6 +162,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return fps.join(owner, fps["fp"] == owner["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs without the members of near-duplicate groups other than the one with the smallest id. Rows that share an id
+    are one document: one of them stays. Rows with a null id belong to no group and stay."""
+    groups = stash(near_groups(docs), "near-groups")
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti")
+    repeated = stash(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
+    if repeated.isEmpty():
+        return kept.select(docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
