@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("chat_format", "decontaminate", "mixing", "pu_quality", "quality_rules", "simhash", "token_output", "toxicity")
+MODULES = ("substring_dedup", "pu_quality", "decontaminate", "quality_rules", "simhash", "token_output", "toxicity", "mixing", "chat_format")
 
 
 def queries() -> dict[str, Callable]:
