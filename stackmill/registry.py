@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("operators.structure",)
 FLAGSHIP = "x1_hybrid_search"
 
 
