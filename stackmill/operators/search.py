@@ -78,7 +78,12 @@ def best_fields(scores: dict[str, DataFrame], k: int) -> DataFrame:
 
 def top_k(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.col("chunk_id"))
-    return scored.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k)
+    return first_rows(scored, w, k)
+
+
+def first_rows(df: DataFrame, w, k: int) -> DataFrame:
+    """The first k rows of each window, numbered from 0. The plain bound on row_number lets each task cut its rows first."""
+    return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", F.col("rank") - 1)
 
 
 def keyword_search(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -120,7 +125,7 @@ def rrf(lists: DataFrame, k: int, c: int = RRF_K) -> DataFrame:
     """H4. query_id, list_no, rank (from 0), chunk_id -> fused score and rank; equal scores keep the order first seen."""
     fused = lists.groupBy("query_id", "chunk_id").agg(F.sum(1.0 / (c + F.col("rank") + 1)).alias("score"), F.min(F.struct("list_no", "rank")).alias("seen"))
     w = Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "seen", "chunk_id")
-    return fused.withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).drop("seen")
+    return first_rows(fused, w, k).drop("seen")
 
 
 def hybrid(vector_hits: DataFrame, text_hits: DataFrame, k: int) -> DataFrame:
@@ -230,7 +235,7 @@ def toc_lookup(scores: DataFrame, k: int) -> DataFrame:
     """H19. The best entry of each (document, path), then the k best of each query."""
     one = Window.partitionBy("query_id", "doc_id", "path").orderBy(F.desc("score"), "ord")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "ord")
-    return scores.withColumn("n", F.row_number().over(one)).filter("n = 1").withColumn("rank", F.row_number().over(w) - 1).filter(F.col("rank") < k).drop("n")
+    return first_rows(scores.withColumn("n", F.row_number().over(one)).filter("n = 1").drop("n"), w, k)
 
 
 # --- queries -----------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("operators.structure", "operators.search", "operators.assets", "operators.answers", "operators.reports")
+MODULES: tuple[str, ...] = ("sources.documents", "operators.structure", "operators.search", "operators.assets", "operators.answers", "operators.reports", "streaming.jobs")
 FLAGSHIP = "x1_hybrid_search"
 
 
