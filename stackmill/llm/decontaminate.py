@@ -181,9 +181,10 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, max_words: int) ->
 
 
 
-def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: int = MAX_WORDS) -> DataFrame:
+def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: int = MAX_WORDS, coverage: float | None = None) -> DataFrame:
     """docs (doc_id, text, ...) with n_words, spans (disjoint hit word spans) and items (ids of items with windows there)
-    added; every text is read whole and no text is shuffled."""
+    added; every text is read whole and no text is shuffled. With a coverage, texts come without their hit spans, and rows
+    of which more than that share of the words is hit do not come."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "spans", "items")]
     fields = docs.select(*keep).schema
@@ -195,20 +196,26 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: in
     for number, block in enumerate(blocks):
         automaton = spark.sparkContext.broadcast(Automaton(block, span))
 
-        def run(batches, automaton=automaton, later=number > 0):
+        def run(batches, automaton=automaton, later=number > 0, last=number + 1 == len(blocks)):
             a = automaton.value
             for batch in batches:
-                counts, spans, found = [], [], []
+                counts, spans, found, stay = [], [], [], []
                 for k, text in enumerate(batch.column(where)):
                     words = words_of(text.as_buffer().to_pybytes()) if text.is_valid else []
                     s, i = a.hits(words) if a.vocabulary else ([], set())
                     if later:
                         s = s + [(x["start"], x["end"]) for x in batch.column(len(keep) + 1)[k].as_py()]
                         i = i | set(batch.column(len(keep) + 2)[k].as_py())
+                    s = covered(s)
+                    stay.append(coverage is None or sum(y - x for x, y in s) <= coverage * len(words))
                     counts.append(len(words))
-                    spans.append([{"start": x, "end": y} for x, y in covered(s)])
+                    spans.append([{"start": x, "end": y} for x, y in s])
                     found.append(sorted(i))
                 columns = [batch.column(k) for k in range(len(keep))]
+                if coverage is not None and last:
+                    columns[where] = pa.array([remove_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(columns[where].to_pylist(), spans)], pa.string())
+                    columns = [c.filter(pa.array(stay)) for c in columns]
+                    counts, spans, found = ([x for x, y in zip(z, stay) if y] for z in (counts, spans, found))
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, shape), pa.array(found, pa.list_(pa.string()))], [*keep, "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, schema)
@@ -217,6 +224,8 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: in
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     """The text without the hit words and what lies between them; white space at the cut becomes one space."""
+    if text is None:
+        return None
     data = text.encode()
     low = data.translate(_TO_WORDS)
     places, at = [], 0
@@ -234,18 +243,7 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, max_coverage: float = 0.5) -> DataFrame:
     """Documents with hit spans removed; documents of which more than max_coverage of the words are hit are dropped."""
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        return pd.Series([t if t is None or s is None or not len(s) else remove_spans(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(text, spans)])
-
-    hit = find_hits(docs, items, span)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + (s["end"] - s["start"]))
-    kept = hit.filter(n_hit <= max_coverage * F.col("n_words"))
-    return kept.withColumn("text", F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col("text"))).select(*docs.columns)
+    return find_hits(docs, items, span, coverage=max_coverage).select(*docs.columns)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

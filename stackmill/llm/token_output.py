@@ -7,7 +7,7 @@ addressable codes (``dac``). ``locate`` gives the global place of every segment
 alone. ``read_documents`` and ``read_tokens`` read ids back without decoding what lies before them.
 
 A text is encoded piece by piece between ASCII white space, where this family of tokenizers always separates words;
-pieces are remembered, so that the library sees each distinct piece once in a worker (at most CACHE at a time).
+pieces are remembered, so that the library sees a distinct piece once in a worker while it is in use (at most 2 x CACHE pieces are kept).
 
 Defined cases: null and empty texts give the end id alone; a null document id sorts first; documents with equal ids
 stand side by side; a text of any length is one run in one segment; an empty table writes an empty container and other
@@ -26,41 +26,45 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackmill.llm import dac
-from stackmill.llm.common import shared_dir, table
+from stackmill.llm.common import shared_dir, small_batches, table
 
 END_ID = 2
 #: Token ids and documents after which a segment is closed.
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 18, 4096
-#: Pieces that a worker remembers.
-CACHE = 1_500_000
+#: Pieces in each of the two generations that a worker remembers.
+CACHE = 250_000
 SEGMENTS = "shard int, segment int, doc_ids array<bigint>, ends array<bigint>, n_tokens bigint, codes binary"
 
 
 class PieceEncoder(dict):
-    """piece (UTF-8 bytes without ASCII white space) -> its token ids as little-endian uint32 bytes."""
+    """piece (UTF-8 bytes without ASCII white space) -> its token ids as little-endian uint32 bytes.
+
+    Two generations are remembered: when the young one is full it becomes the old one, from which pieces in use come back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.old: dict[bytes, bytes] = {}
 
     def __missing__(self, piece: bytes) -> bytes:
-        # ASCII capitals are lower-cased by the tokenizer itself, and a full stop or comma after a letter is a word of its
-        # own: both leave fewer distinct pieces. What may hold a special token is encoded as it is.
-        if b"<|" not in piece and (low := piece.lower()) != piece:
-            out = self[low]
-        elif len(piece) > 1 and piece[-1] in b".," and 0x61 <= piece[-2] <= 0x7A and b"<|" not in piece:
-            out = self[piece[:-1]] + self[piece[-1:]]
-        else:
+        # a full stop or comma after a letter is a word of its own to the tokenizer: such pieces are put together from two
+        if len(piece) > 1 and piece[-1] in b".," and 0x61 <= piece[-2] <= 0x7A and b"<|" not in piece:
+            return self[piece[:-1]] + self[piece[-1:]]
+        out = self.old.get(piece)
+        if out is None:
             out = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
         self[piece] = out
         return out
 
     def encode(self, data: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, data.split()))
+        # the tokenizer lower-cases ASCII capitals itself; a text that may hold a special token is left as it is
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -104,7 +108,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
             yield close()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SEGMENTS).write.parquet(path)
+    sorted_rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    with small_batches(docs.sparkSession):
+        sorted_rows.mapInArrow(run, SEGMENTS).write.parquet(path)
 
 
 def locate(spark: SparkSession, path: str) -> DataFrame:
