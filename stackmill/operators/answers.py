@@ -139,7 +139,7 @@ def d10_renumber(spark, sf_dir):
 def d11_align(spark, sf_dir):
     s = _sentences(spark, sf_dir).withColumn("vector", hashed_vector(T.terms(F.col("raw"))))
     refs = answers(spark, sf_dir).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ref"))
-    source = views.body_blocks(spark, sf_dir).filter("block_no = 0").select(F.col("doc_id").alias("d"), hashed_vector(T.terms(F.col("text"))).alias("vector"))
+    source = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), hashed_vector(T.terms(F.col("text"))).alias("vector"))
     subs = refs.withColumn("d", (F.col("answer_id") * 4 + F.col("ref")) % 200).join(source, "d").select("answer_id", "ref", "vector")
     return align(s, subs).withColumn("score", F.round("score", 6))
 
@@ -209,8 +209,8 @@ def e17_contacts(spark, sf_dir):
 
 
 def g01_hashed_vectors(spark, sf_dir):
-    b = views.body_blocks(spark, sf_dir).filter("block_no = 0")
-    return b.select("doc_id", F.array_join(F.transform(hashed_vector(T.terms(F.col("text"))), lambda x: x.cast("int").cast("string")), ",").alias("vector"))
+    b = views.body_blocks(spark, sf_dir)
+    return b.select("doc_id", "block_no", F.array_join(F.transform(hashed_vector(T.terms(F.col("text"))), lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -247,7 +247,7 @@ ORACLES = {
         "u": r"SELECT *, list_transform(ms, lambda x: regexp_extract(x, '\d+')::INT) AS ns, list_filter(ns, lambda x, i: x <= n AND list_position(ns, x) = i) AS us FROM m",
         "r": r"SELECT *, list_transform(ms, lambda x, i: CASE WHEN ns[i] > n THEN x WHEN x[1] = '【' THEN '【' || list_position(us, ns[i]) || '】' ELSE '[' || list_position(us, ns[i]) || ']' END) AS fs FROM u"},
         body="SELECT answer_id, array_to_string(us, ',') AS used, (length(answer) - length(array_to_string(ms, '')) + length(array_to_string(fs, '')))::INT AS n_chars, array_to_string(fs, '') AS markers FROM r"),
-    "d11_align": with_views("v_body", more={**_ANSWERS, "sv": f"SELECT answer_id, sentence_index, unnest(refs) AS ref, {_VEC.format('raw')} AS v FROM se", "so": f"SELECT doc_id AS d, {_VEC.format('text')} AS v FROM v_body WHERE block_no = 0",
+    "d11_align": with_views("v_body", more={**_ANSWERS, "sv": f"SELECT answer_id, sentence_index, unnest(refs) AS ref, {_VEC.format('raw')} AS v FROM se", "so": f"SELECT doc_id AS d, {_VEC.format('text')} AS v FROM documents",
         "sc": "SELECT sv.answer_id, sv.ref, sentence_index, round(coalesce(list_cosine_similarity(sv.v, so.v), 0), 9) AS score FROM sv JOIN so ON so.d = (sv.answer_id * 4 + sv.ref) % 200 WHERE sv.ref <= 4"},
         body="SELECT answer_id, ref, sentence_index, round(score, 6) AS score FROM sc WHERE score >= 0.42 QUALIFY row_number() OVER (PARTITION BY answer_id, ref ORDER BY score DESC, sentence_index DESC) = 1"),
     "d12_markdown_table": with_views(more=_ANSWERS, body=f"SELECT answer_id, {_HAS.format('answer')} AS has_table FROM an"),
@@ -261,5 +261,5 @@ ORACLES = {
     "e14_token_estimate": with_views("v_refs", body="SELECT doc_id, chunk_index, (CASE WHEN length(text) = 0 THEN 0 ELSE length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) + greatest(1, (length(text) - length(regexp_replace(text, '[^㐀-鿿]', '', 'g')) + 3) // 4) END)::INT AS tokens FROM v_refs"),
     "e15_asset_number": with_views("v_assets", body="SELECT asset_id, (['figure', 'table', 'figure', NULL, NULL])[doc_id % 5 + 1] AS kind, CASE WHEN doc_id % 5 < 4 THEN (doc_id % 9 + 1) || '-' || (asset_id % 40) END AS number FROM v_assets"),
     "e17_contacts": "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '+861380000' || lpad(c_custkey::VARCHAR, 4, '0') WHEN 1 THEN '+861390000' || lpad(c_custkey::VARCHAR, 4, '0') END AS phone, lower(c_name) || '@x.org' AS email, CASE WHEN c_custkey % 4 = 0 THEN '****' WHEN c_custkey % 4 = 1 THEN '' ELSE '********' || right(c_name, 4) END AS masked FROM customer",
-    "g01_hashed_vectors": with_views("v_body", more={"v": f"SELECT doc_id, {_VEC.format('text')} AS v FROM v_body WHERE block_no = 0"}, body="SELECT doc_id, array_to_string(list_transform(v, lambda x: x::INT::VARCHAR), ',') AS vector FROM v"),
+    "g01_hashed_vectors": with_views("v_body", more={"v": f"SELECT doc_id, block_no, {_VEC.format('text')} AS v FROM v_body"}, body="SELECT doc_id, block_no, array_to_string(list_transform(v, lambda x: x::INT::VARCHAR), ',') AS vector FROM v"),
 }
