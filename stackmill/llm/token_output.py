@@ -2,7 +2,7 @@
 
 ``write_tokens`` puts the documents in ascending order of their id (one range shuffle of the texts), encodes every whole
 text with a given tokenizer, appends the end id, and writes segments: rows of a Parquet container with the shard (range
-partition), the number of the segment in it, the ids of its documents, where each ends, and the token ids as directly
+partition), the number of the segment in it, the tokens of the shard before it, the ids of its documents, where each ends, and the token ids as directly
 addressable codes (``dac``). ``locate`` gives the global place of every segment and document from the segment headers
 alone. ``read_documents`` and ``read_tokens`` read ids back without decoding what lies before them.
 
@@ -32,8 +32,8 @@ END_ID = 2
 #: Token ids and documents after which a segment is closed.
 SEGMENT_TOKENS, SEGMENT_DOCS = 1 << 18, 4096
 #: Pieces in each of the two generations that a worker remembers.
-CACHE = 250_000
-SEGMENTS = "shard int, segment int, doc_ids array<bigint>, ends array<bigint>, n_tokens bigint, codes binary"
+CACHE = 700_000
+SEGMENTS = "shard int, segment int, before bigint, doc_ids array<bigint>, ends array<bigint>, n_tokens bigint, codes binary"
 
 
 class PieceEncoder(dict):
@@ -42,10 +42,11 @@ class PieceEncoder(dict):
     Two generations are remembered: when the young one is full it becomes the old one, from which pieces in use come back.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, pieces: int = 0):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.pieces = pieces or CACHE
         self.tokenizer = Tokenizer.from_file(path)
         self.old: dict[bytes, bytes] = {}
 
@@ -56,7 +57,7 @@ class PieceEncoder(dict):
         out = self.old.get(piece)
         if out is None:
             out = np.array(self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self) >= CACHE:
+        if len(self) >= self.pieces:
             self.old = dict(self)
             self.clear()
         self[piece] = out
@@ -67,30 +68,31 @@ class PieceEncoder(dict):
         return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[tuple[str, int], PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, pieces: int) -> PieceEncoder:
     """One for each worker process and tokenizer."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    if (path, pieces) not in _encoders:
+        _encoders[path, pieces] = PieceEncoder(path, pieces)
+    return _encoders[path, pieces]
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID) -> None:
-    """Write the container to path. tokenizer: a file that the tokenizers library reads, present on every worker."""
+def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, pieces: int = CACHE) -> None:
+    """Write the container to path. tokenizer: a file that the tokenizers library reads, present on every worker. pieces: how
+    many a worker remembers in a generation; fewer need less memory and more time."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from stackmill.llm import token_output
 
-        shard, number, encode = TaskContext.get().partitionId(), 0, token_output.encoder(tokenizer).encode
-        ids, ends, parts, total = [], [], [], 0
+        shard, number, encode = TaskContext.get().partitionId(), 0, token_output.encoder(tokenizer, pieces).encode
+        ids, ends, parts, total, before = [], [], [], 0, 0
 
         def close() -> pa.RecordBatch:
             codes = dac.encode(np.frombuffer(b"".join(parts), "<u4"))
-            row = {"shard": [shard], "segment": [number], "doc_ids": [list(ids)], "ends": [list(ends)], "n_tokens": [total], "codes": [codes]}
-            types = {"shard": pa.int32(), "segment": pa.int32(), "doc_ids": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "n_tokens": pa.int64(), "codes": pa.binary()}
+            row = {"shard": [shard], "segment": [number], "before": [before], "doc_ids": [list(ids)], "ends": [list(ends)], "n_tokens": [total], "codes": [codes]}
+            types = {"shard": pa.int32(), "segment": pa.int32(), "before": pa.int64(), "doc_ids": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "n_tokens": pa.int64(), "codes": pa.binary()}
             return pa.RecordBatch.from_arrays([pa.array(row[k], t) for k, t in types.items()], list(types))
 
         for batch in batches:
@@ -98,7 +100,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
                 tokens = (encode(text.as_buffer().to_pybytes()) if text.is_valid else b"") + end
                 if ids and (total + len(tokens) // 4 > SEGMENT_TOKENS or len(ids) >= SEGMENT_DOCS):
                     yield close()
-                    number += 1
+                    number, before = number + 1, before + total
                     ids, ends, parts, total = [], [], [], 0
                 total += len(tokens) // 4
                 ids.append(doc)
@@ -114,16 +116,13 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
 
 
 def locate(spark: SparkSession, path: str) -> DataFrame:
-    """The container with first, the global place of every segment's first token: shard totals are few; segments are
-    numbered within their shard."""
+    """The container with first, the global place of every segment's first token. Only the totals of the shards, one row for
+    each partition of the sort, are put in order and broadcast; the codes are not shuffled."""
     segments = spark.read.schema(SEGMENTS).parquet(path)
-    shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = shards.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("shard").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    heads = segments.select("shard", "segment", "n_tokens").withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
-    placed = heads.join(base, heads["shard"] == base["_shard"]).select(F.col("shard").alias("_shard"), F.col("segment").alias("_segment"), (F.col("_base") + F.col("_in")).alias("first"))
-    return segments.join(placed, (segments["shard"] == placed["_shard"]) & (segments["segment"] == placed["_segment"])).drop("_shard", "_segment")
+    totals = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
+    earlier = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(F.col("shard").alias("_shard"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_base"))
+    return segments.join(F.broadcast(base), segments["shard"] == base["_shard"]).withColumn("first", F.col("_base") + F.col("before")).drop("_shard", "_base", "before")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -147,8 +146,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def read_tokens(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
     """place, id for a table of global places (column place): each place is joined to its segment's range and read alone."""
     spans = locate(spark, path).select("first", "n_tokens", "codes", "shard", "segment")
-    asked = F.broadcast(spans.drop("codes")).alias("s")
-    hit = places.select("place").join(asked, (F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n_tokens")))
+    # places meet segments in blocks of places: a segment covers the blocks that its range touches
+    block = lambda c: F.floor(c / SEGMENT_TOKENS)
+    covered = spans.drop("codes").withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("first") + F.col("n_tokens") - 1))))
+    hit = places.select("place", block(F.col("place")).alias("block")).join(covered, "block").filter("place >= first and place < first + n_tokens")
     grouped = hit.groupBy("shard", "segment").agg(F.collect_list("place").alias("places"))
     rows = spans.join(grouped, ["shard", "segment"]).select("first", "codes", "places")
 
@@ -168,12 +169,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_table(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def token_table(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, pieces: int = CACHE) -> DataFrame:
     """Write docs to a new container in the shared folder and read every document's digest back."""
     import uuid
 
     path = f"{shared_dir(spark)}/stackmill/tokens-{uuid.uuid4().hex}"
-    write_tokens(docs, tokenizer or default_tokenizer(), path)
+    write_tokens(docs, tokenizer or default_tokenizer(), path, pieces=pieces)
     return read_documents(spark, path)
 
 
