@@ -38,7 +38,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in directly addressable files, and for every document what is read back from them."""
-    return token_output.token_table(spark, docs)
+    return token_output.token_table(spark, docs, pieces=250_000)  # workers still hold what earlier stages left
 
 
 STAGES = [
