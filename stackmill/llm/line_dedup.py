@@ -3,14 +3,16 @@
 Every line with a word is hashed as a whole (equal lines are one node) and by its character shingles. The signature of a
 line is, for each of BANDS x ROWS fixed points, the shingle hash nearest to that point (least hash XOR point): two lines
 agree at a point with the probability of their shingle sets' Jaccard similarity. Signatures are cut into bands; lines that
-share a band meet its representative (the least line of the band's bucket) and their neighbour in the bucket, so pairs
-grow with the lines and not with the square of a bucket. Each pair is then verified by the Jaccard similarity of the full
-shingle sets, and verified links are resolved by distributed connected components. Of a component, the first line (least
-document id, then line number) is kept, and every other occurrence of any of its lines goes.
+share a band meet its representative (the least line of the band's bucket); each pair is verified by the Jaccard
+similarity of the full shingle sets, and verified links are resolved by distributed connected components. Buckets whose
+lines are then still in different components are resolved wholly: in small ones every pair of different components is
+verified; the lines of large ones meet by exact prefix filtering, which loses no similar pair, and are verified too. Of a
+component, the first line (least document id, then line number) is kept, and every other occurrence of its lines goes.
 
 With three rows in each of six bands, a pair at the threshold of 0.8 shares a band with probability 0.986, at 0.9 with
-0.9996. Rows are aggregated before they are shuffled; lines are exploded to shingles inside one pipeline and never
-collected; hot buckets are met by a join that Spark can split, and neighbours are sought in salted parts of a bucket.
+0.9996, by calculation; similar lines that share a band are always in one component. Rows are aggregated before they are
+shuffled; only lines of large unresolved buckets have their shingles shuffled; hot buckets are met by a join that Spark
+can split.
 
 Defined cases: null and empty texts have no lines; blank lines are no nodes and stay; lines shorter than a shingle are one
 shingle; shingles count UTF-16 units; documents with the same id are one for the order of lines; rows with a null id come
@@ -19,7 +21,7 @@ first in that order; an empty table gives no rows and other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackmill.llm.common import stash, table
@@ -27,7 +29,8 @@ from stackmill.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
 BANDS, ROWS = 6, 3
-SALTS = 64
+#: Pairs of an unresolved bucket that are verified as they are; lines of larger buckets go by their rare shingles.
+AT_ONCE = 1024
 
 
 def has_word(line: Column) -> Column:
@@ -68,24 +71,75 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signed.select("a", F.explode(keys).alias("key"))
 
 
-def candidates(keys: DataFrame) -> DataFrame:
-    """x, y: each line of a bucket with its representative, and with its neighbour in a salted part of the bucket."""
-    heads = stash(keys.groupBy("key").agg(F.min("a").alias("head"), F.max("a").alias("tail")).filter("head <> tail").select(F.col("key").alias("_key"), "head"), "line-buckets")
-    met = keys.join(heads, keys["key"] == heads["_key"]).select("key", "a", "head")
-    before = F.lag("a").over(Window.partitionBy("key", F.pmod(F.xxhash64("a"), F.lit(SALTS))).orderBy("a"))
-    pairs = met.withColumn("before", before).select("a", F.explode(F.array("head", "before")).alias("other"))
-    return pairs.filter("other is not null and other <> a").select(F.greatest("a", "other").alias("x"), F.least("a", "other").alias("y")).distinct()
+def bucket_members(keys: DataFrame) -> DataFrame:
+    """key, a, head (the least line of the bucket), size, of every bucket of more than one line."""
+    heads = keys.groupBy("key").agg(F.min("a").alias("head"), F.max("a").alias("tail"), F.count("*").alias("size"))
+    heads = stash(heads.filter("head <> tail").select(F.col("key").alias("_key"), "head", "size"), "line-buckets")
+    return keys.join(heads, keys["key"] == heads["_key"]).select("key", "a", "head", "size")
 
 
-def jaccard(left: Column, right: Column) -> Column:
-    """Of the full shingle sets of two lines."""
+def candidates(members: DataFrame) -> DataFrame:
+    """x, y: each line of a bucket with its representative."""
+    return members.filter("a <> head").select(F.col("a").alias("x"), F.col("head").alias("y")).distinct()
+
+
+def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
+    """key, a, head, c (component of a), hc (component of the head), work (pairs at most) of the buckets in which lines
+    other than the head are still in different components."""
+    named = members.filter("size > 2").join(components, members["a"] == components["node"], "left").select("key", "a", "head", "size", F.coalesce("component", "a").alias("c"))
+    buckets = named.groupBy("key").agg(F.min_by("c", "a").alias("hc"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select(F.col("key").alias("_key"), "hc")
+    open_ = stash(named.join(buckets, named["key"] == buckets["_key"]).select("key", "a", "head", "size", "c", "hc"), "line-open")
+    work = open_.groupBy("key").agg((F.count_if(F.col("c") != F.col("hc")) * F.first("size")).alias("work")).withColumnRenamed("key", "_key")
+    return open_.join(work, open_["key"] == work["_key"]).select("key", "a", "head", "c", "hc", "work")
+
+
+def _bucket_pairs(rest: DataFrame) -> DataFrame:
+    """x, y: every pair of different components in a bucket; one of the two is outside the head's component."""
+    l = rest.filter("c <> hc").select("key", F.col("a").alias("x"), F.col("c").alias("cx"))  # noqa: E741
+    r = rest.filter("a <> head").select("key", F.col("a").alias("y"), F.col("c").alias("cy"), "hc")
+    met = l.join(r, "key").filter("cx <> cy and (cy = hc or x > y)")
+    return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+
+
+def prefix_pairs(lines: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """x, y: a superset of the similar pairs of different components among nodes (a, c), by exact prefix filtering.
 
-    def shingles(line: Column) -> Column:
-        # the encoded line is bound once, not encoded again for every shingle
-        hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i)))
-        return F.element_at(F.transform(F.array(_units(line)), hashes), 1)
+    A line's shingles are put in one order, rare ones first. The first common shingle of two similar lines then stands
+    among the first of both, with enough shingles behind it for the overlap that the similarity asks for.
+    """
+    texts = lines.select("a", "line").join(nodes, "a").groupBy("a", "c").agg(F.min("line").alias("line"))
+    sets = stash(texts.select("a", "c", _shingles(F.col("line")).alias("ws")), "line-sets")
+    counts = sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
+    ordered = sets.select("a", "c", F.explode("ws").alias("w")).join(counts, "w").groupBy("a", "c").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
+    n = F.size("ws")
+    least = lambda share: n - F.ceil(n * share - 1e-9).cast("int") + 1
+    first = ordered.select("a", "c", n.alias("n"), least(2 * similarity / (1 + similarity)).alias("short"), F.posexplode(F.slice("ws", 1, least(similarity))).alias("at", "s"))
+    first = stash(first.filter("s.f > 1").select("a", "c", "n", "short", "at", F.col("s.w").alias("w")), "line-prefixes")
+    l = first.filter("at < short").select("w", *[F.col(k).alias(f"l_{k}") for k in ("a", "c", "n", "at")])  # noqa: E741
+    r = first.select("w", *[F.col(k).alias(f"r_{k}") for k in ("a", "c", "n", "at")])
+    met = l.join(r, "w").filter("l_c <> r_c and (l_n < r_n or (l_n = r_n and l_a < r_a))")
+    met = met.filter((F.col("l_n") >= F.col("r_n") * similarity - 1e-9) & (F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= (F.col("l_n") + F.col("r_n")) * (similarity / (1 + similarity)) - 1e-9))
+    return met.select(F.greatest("l_a", "r_a").alias("x"), F.least("l_a", "r_a").alias("y"))
 
-    pair = F.struct(shingles(left).alias("l"), shingles(right).alias("r"))
+
+def remaining(rest: DataFrame, lines: DataFrame, similarity: float, at_once: int = AT_ONCE) -> DataFrame:
+    """x, y: what is left to verify in unresolved buckets; all pairs of small ones, prefix pairs of the lines of large ones."""
+    pairs = _bucket_pairs(rest.filter(F.col("work") <= at_once))
+    large = stash(rest.filter(F.col("work") > at_once).select("a", "c").distinct(), "line-large")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(prefix_pairs(lines, large, similarity))
+    return pairs.distinct()
+
+
+def _shingles(line: Column) -> Column:
+    # the encoded line is bound once, not encoded again for every shingle
+    hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i)))
+    return F.element_at(F.transform(F.array(_units(line)), hashes), 1)
+
+
+def jaccard(left: Column, right: Column) -> Column:
+    """Of the full shingle sets of two lines."""
+    pair = F.struct(_shingles(left).alias("l"), _shingles(right).alias("r"))
     common = lambda p: F.size(F.array_intersect(p["l"], p["r"]))
     return F.element_at(F.transform(F.array(pair), lambda p: common(p) / (F.size(p["l"]) + F.size(p["r"]) - common(p))), 1)
 
@@ -113,10 +167,15 @@ def _place() -> Column:
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no of the lines that stay: one for every component."""
     lines = lines_of(docs)
-    keys = stash(band_keys(lines), "line-bands")
-    pairs = stash(candidates(keys), "line-pairs")
-    links = verified(pairs, lines, similarity)
+    members = stash(bucket_members(stash(band_keys(lines), "line-bands")), "line-members")
+    links = verified(stash(candidates(members), "line-pairs"), lines, similarity)
     components = stash(connected_components(links, "x", "y"), "line-components")
+    rest = stash(unresolved(members, components), "line-rest")
+    if not rest.isEmpty():
+        more = stash(verified(stash(remaining(rest, lines, similarity), "line-more-pairs"), lines, similarity), "line-more-links")
+        if not more.isEmpty():
+            stars = components.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
+            components = stash(connected_components(stars.unionByName(more), "x", "y"), "line-all-components")
     first = lines.groupBy("a", "b").agg(F.min(_place()).alias("at"))
     placed = first.join(components, first["a"] == components["node"], "left")
     alone = placed.filter("component is null").select("at")

@@ -55,3 +55,50 @@ def test_no_python_and_empty(spark, sf_dir):
     assert L.line_report(docs).count() == 0 and L.dedup_lines(docs).count() == 0
     plan = L.band_keys(L.lines_of(spark.read.parquet(f"{sf_dir}/documents.parquet")))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def template_rows():
+    """Lines of one template, dissimilar to each other (about 0.55), each with a copy that differs in one late word."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    shared = " ".join(word(6) for _ in range(22))
+    base = [f"{word(30)} {shared} {word(14)}" for _ in range(120)]
+    return [(d, "\n".join((x, x[:-9] + "Z" * 9))) for d, x in enumerate(base)]
+
+
+def sharing_a_band(spark, docs, rows):
+    """Kept lines where exactly the similar pairs that share a band are links."""
+    lines = [(d, i, x) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    of = {r["a"]: r["line"] for r in L.lines_of(docs).collect()}
+    buckets, sets = {}, {x: {x[i : i + 12] for i in range(len(x) - 11)} for _, _, x in lines}
+    for r in L.band_keys(L.lines_of(docs)).collect():
+        buckets.setdefault(r["key"], []).append(of[r["a"]])
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in buckets.values():
+        for i, x in enumerate(b):
+            for y in b[:i]:
+                both = len(sets[x] & sets[y])
+                if both / (len(sets[x]) + len(sets[y]) - both) >= 0.8:
+                    root[find(x)] = find(y)
+    groups = {}
+    for d, i, x in lines:
+        groups.setdefault(find(x), []).append((d, i))
+    return {min(g) for g in groups.values()}
+
+
+def test_buckets_with_a_dissimilar_head(spark):
+    rows = template_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sharing_a_band(spark, docs, rows)
+    assert len(want) < 130
+    assert {tuple(r) for r in L.kept_lines(docs).collect()} == want
+    rest = spark.createDataFrame([(1, r["a"], 0, r["a"], 0, 1 << 40) for r in L.lines_of(docs).collect()], "key long, a long, head long, c long, hc long, work long")
+    by_prefix = {tuple(r) for r in L.verified(L.remaining(rest, L.lines_of(docs), 0.8), L.lines_of(docs), 0.8).collect()}
+    by_bucket = {tuple(r) for r in L.verified(L.remaining(rest, L.lines_of(docs), 0.8, 1 << 50), L.lines_of(docs), 0.8).collect()}
+    assert by_prefix == by_bucket and len(by_prefix) >= 120
