@@ -122,6 +122,26 @@ def test_rate_limit_counts_only_admitted():
     assert out["admitted"].tolist() == [True] * 10 + [False] * 3 + [True]
 
 
+def test_rate_limit_keeps_users_apart(spark, tmp_path):
+    import pandas as pd
+
+    rows = [(u * 100 + i, 400 * (i % 13) * u, u) for u in (1, 21, 41) for i in range(30)]
+    events = spark.createDataFrame(rows, "event_id long, s long, user_id long").select("event_id", F.timestamp_seconds("s").alias("ts"), "user_id")
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "7")
+    try:
+        got = {(r["client"], r["id"], r["admitted"]) for r in L.l03_rate_limit(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    want = set()
+    for u in (1, 21, 41):
+        own = pd.DataFrame([(u, i, s / 400) for i, s, v in rows if v == u], columns=["client", "id", "at"]).sort_values(["at", "id"])
+        want |= {tuple(x) for x in L.admitted(own)[["client", "id", "admitted"]].itertuples(index=False)}
+    assert got == want
+
+
 def test_quota_equals_the_loop(spark):
     units = [2, 0, 3, 4, 1]
     rows = [(1, i, u) for i, u in enumerate(units)]
