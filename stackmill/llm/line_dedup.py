@@ -1,8 +1,8 @@
 """Fuzzy line dedup by MinHash, with DataFrame functions only.
 
 Every line with a word is hashed as a whole (equal lines are one node) and by its character shingles. The signature of a
-line is, for each of BANDS x ROWS fixed points, the shingle hash nearest to that point (least hash XOR point): two lines
-agree at a point with the probability of their shingle sets' Jaccard similarity. Signatures are cut into bands; lines that
+line is, for each of BANDS x ROWS fixed points, the shingle hash nearest to that point (least hash XOR point; a row of the
+plan holds CHUNK shingles): two lines agree at a point with the probability of their shingle sets' Jaccard similarity. Signatures are cut into bands; lines that
 share a band meet its representative (the least line of the band's bucket); each pair is verified by the Jaccard
 similarity of the full shingle sets, and verified links are resolved by distributed connected components. Buckets whose
 lines are then still in different components are resolved wholly: in small ones every pair of different components is
@@ -14,6 +14,8 @@ With three rows in each of six bands, a pair at the threshold of 0.8 shares a ba
 shuffled; only lines of large unresolved buckets have their shingles shuffled; hot buckets are met by a join that Spark
 can split.
 
+A line's node is its 64-bit hash; where two lines clash in it, which a second hash tells, both are hashed anew (``nodes``).
+
 Defined cases: null and empty texts have no lines; blank lines are no nodes and stay; lines shorter than a shingle are one
 shingle; shingles count UTF-16 units; documents with the same id are one for the order of lines; rows with a null id come
 first in that order; an empty table gives no rows and other columns are ignored.
@@ -21,6 +23,8 @@ first in that order; an empty table gives no rows and other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +33,44 @@ from stackmill.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
 BANDS, ROWS = 6, 3
+#: Shingles hashed in one row of the plan.
+CHUNK = 8
+#: Bits of a node; 64 but in tests.
+NODE_BITS = 64
 #: Pairs of an unresolved bucket that are verified as they are; lines of larger buckets go by their rare shingles.
 AT_ONCE = 1024
 
 
+#: The blanks at the start of a line that has a word, and the first character of the word.
+WORD_LINE = r"(?md)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
+
+
 def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, line, a, b (a 128-bit identity) of every line with a word."""
+def lines_of(docs: DataFrame, clashes: Sequence[DataFrame] = ()) -> DataFrame:
+    """doc_id, line_no, line, a (node), b (a second hash) of every line with a word; lines with a clashing node get another."""
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
-    return lines.filter(has_word(F.col("line"))).select("doc_id", "line_no", "line", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
+    a = F.xxhash64("line") if NODE_BITS == 64 else F.xxhash64("line").bitwiseAND(F.lit((1 << NODE_BITS) - 1))
+    lines = lines.filter(has_word(F.col("line"))).select("doc_id", "line_no", "line", a.alias("a"), F.xxhash64("line", F.lit(1)).alias("b"))
+    for seed, clash in enumerate(clashes, 2):
+        # bounded: of n lines about n * n / 2^64 clash, some hundreds of 10^11
+        lines = lines.join(F.broadcast(clash.select(F.col("a").alias("_c"))), F.col("a") == F.col("_c"), "left")
+        lines = lines.withColumn("a", F.when(F.col("_c").isNull(), F.col("a")).otherwise(F.xxhash64("line", F.lit(seed)))).drop("_c")
+    return lines
+
+
+def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines, and a, at (the first place) of every distinct line, with nodes that no two lines share."""
+    clashes: list[DataFrame] = []
+    while True:
+        lines = lines_of(docs, clashes)
+        first = stash(lines.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min(_place()).alias("at")), "line-first")
+        clash = first.filter("low <> high")
+        if clash.isEmpty():
+            return lines, first.select("a", "at")
+        clashes.append(stash(clash.select("a"), "line-clashes"))
 
 
 def _units(line: Column) -> Column:
@@ -62,11 +92,14 @@ def points(n: int = BANDS * ROWS) -> list[int]:
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """a, key: the band keys of every distinct line."""
-    shingles = lines.withColumn("u", _units(F.col("line"))).select("a", "b", "u", F.explode(F.sequence(F.lit(0), _last(F.col("u")))).alias("at"))
-    hashed = shingles.select("a", "b", _shingle(F.col("u"), F.col("at")).alias("h"))
+    units = lines.withColumn("u", _units(F.col("line"))).withColumn("last", _last(F.col("u")))
+    chunks = units.select("a", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
+    # the last shingle stands for those beyond it: a set's least value does not change
+    hashed = chunks.select("a", *[_shingle(F.col("u"), F.least(F.col("at") + k, F.col("last"))).alias(f"h{k}") for k in range(CHUNK)])
+    near = lambda p: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(CHUNK)])
     # ANSI casts must not overflow: the shifted value is masked to 31 bits first
-    nearest = [F.shiftrightunsigned(F.min(F.col("h").bitwiseXOR(F.lit(p))), 24).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{k}") for k, p in enumerate(points())]
-    signed = hashed.groupBy("a", "b").agg(*nearest)
+    nearest = [F.shiftrightunsigned(F.min(near(p)), 24).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{k}") for k, p in enumerate(points())]
+    signed = hashed.groupBy("a").agg(*nearest)
     keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{j * ROWS + i}") for i in range(ROWS)]) for j in range(BANDS)])
     return signed.select("a", F.explode(keys).alias("key"))
 
@@ -75,7 +108,8 @@ def bucket_members(keys: DataFrame) -> DataFrame:
     """key, a, head (the least line of the bucket), size, of every bucket of more than one line."""
     heads = keys.groupBy("key").agg(F.min("a").alias("head"), F.max("a").alias("tail"), F.count("*").alias("size"))
     heads = stash(heads.filter("head <> tail").select(F.col("key").alias("_key"), "head", "size"), "line-buckets")
-    return keys.join(heads, keys["key"] == heads["_key"]).select("key", "a", "head", "size")
+    # the buckets of several lines are the smaller side: hashed, so that the keys are not sorted
+    return keys.join(heads.hint("shuffle_hash"), keys["key"] == heads["_key"]).select("key", "a", "head", "size")
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -147,7 +181,7 @@ def jaccard(left: Column, right: Column) -> Column:
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose lines are similar enough; only the lines of some pair are fetched."""
     nodes = pairs.select(F.col("x").alias("_n")).unionByName(pairs.select(F.col("y").alias("_n"))).distinct()
-    texts = lines.select("a", "line").join(nodes, lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
+    texts = lines.select("a", "line").join(nodes.hint("shuffle_hash"), lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
     texts = stash(texts, "line-texts")
     left = texts.select(F.col("a").alias("x"), F.col("line").alias("left"))
     right = texts.select(F.col("a").alias("y"), F.col("line").alias("right"))
@@ -166,7 +200,7 @@ def _place() -> Column:
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no of the lines that stay: one for every component."""
-    lines = lines_of(docs)
+    lines, first = nodes(docs)
     members = stash(bucket_members(stash(band_keys(lines), "line-bands")), "line-members")
     links = verified(stash(candidates(members), "line-pairs"), lines, similarity)
     components = stash(connected_components(links, "x", "y"), "line-components")
@@ -176,7 +210,6 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         if not more.isEmpty():
             stars = components.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
             components = stash(connected_components(stars.unionByName(more), "x", "y"), "line-all-components")
-    first = lines.groupBy("a", "b").agg(F.min(_place()).alias("at"))
     placed = first.join(components, first["a"] == components["node"], "left")
     alone = placed.filter("component is null").select("at")
     kept = alone.unionByName(placed.filter("component is not null").groupBy("component").agg(F.min("at").alias("at")).select("at"))
@@ -187,8 +220,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (lines with a word), kept (numbers of the lines that stay, in order) of every document."""
     kept = kept_lines(docs, similarity).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
-    lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), has_word)
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(lines).cast("long").alias("n_lines"))
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_LINE)).cast("long").alias("n_lines"))
     kept = kept.withColumnRenamed("doc_id", "_doc")
     return counts.join(kept, counts["doc_id"].eqNullSafe(kept["_doc"]), "left").select("doc_id", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 

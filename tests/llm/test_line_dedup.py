@@ -50,6 +50,48 @@ def test_against_brute_force(spark):
     assert report[61]["n_lines"] == 0 and report[60]["kept"] == []
 
 
+def test_clashing_nodes_are_hashed_anew(spark, monkeypatch):
+    monkeypatch.setattr(L, "NODE_BITS", 5)
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in L.kept_lines(docs).collect()} == brute(rows)
+
+
+def test_count_of_lines_with_a_word(spark):
+    texts = [None, "", " \t\n", "a", "a\n", "\n a \n\r\n\x0b b c\n", " " * 50_000 + "\n" + " " * 50_000, "x\r\ny\u2028z\n\u00a0", "a" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_lines"] for r in L.line_report(docs).collect()}
+    assert got == {i: sum(bool(x.strip(" \t\x0b\x0c\r")) for x in (t or "").split("\n")) for i, t in enumerate(texts)}
+
+
+def test_recall_on_given_lines(spark, sf_dir):
+    """Of the similar pairs of distinct lines in the given documents, found by an inverted index, at least 0.95 are joined."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    lines = sorted({x for r in docs.collect() for x in (r["text"] or "").split("\n") if x.strip(" \t\x0b\x0c\r")})
+    sets = [{x[i : i + 12] for i in range(max(1, len(x) - 11))} for x in lines]
+    where = {}
+    for i, s in enumerate(sets):
+        for w in s:
+            where.setdefault(w, []).append(i)
+    pairs = set()
+    for i, s in enumerate(sets):
+        met = {}
+        for w in s:
+            for j in where[w]:
+                if j < i:
+                    met[j] = met.get(j, 0) + 1
+        pairs |= {(j, i) for j, n in met.items() if n / (len(s) + len(sets[j]) - n) >= 0.8}
+    found, first = L.nodes(docs)
+    members = L.bucket_members(L.band_keys(found))
+    met = {(r["x"], r["y"]) for r in L.candidates(members).collect()}
+    of = {r["line"]: r["a"] for r in found.select("line", "a").distinct().collect()}
+    buckets = {}
+    for r in members.collect():
+        buckets.setdefault(r["a"], set()).add(r["key"])
+    shared = sum(bool(buckets.get(of[lines[a]], set()) & buckets.get(of[lines[b]], set())) for a, b in pairs)
+    assert pairs and met and shared >= 0.95 * len(pairs), (shared, len(pairs))
+
+
 def test_no_python_and_empty(spark, sf_dir):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert L.line_report(docs).count() == 0 and L.dedup_lines(docs).count() == 0
