@@ -5,13 +5,14 @@ that ends at each word; a window of ``span`` words (or a whole shorter item) occ
 enough, and its words are hit. Most words of a text start no match at all, so stretches are first cut out whose
 neighbouring words all follow each other in some item (the automaton's states of depth two), and only those are walked.
 
-The automaton is built on the driver from a table of benchmark items, whose size is checked: items are taken in blocks of
-at most MAX_WORDS words, each with its own automaton, and texts stream past one block after another, so the benchmark may
-be of any size while what is sent to the executors stays bounded.
+Automata are built on the driver, which takes the benchmark in blocks of at most MAX_WORDS words, one at a time, each with
+its own automaton; texts stream past one block after another, and between blocks what was found is written and read again.
+So the benchmark may be of any size while what the driver holds and what is sent to the executors stays bounded.
 
 Defined cases: null texts and items have no words; items without words are ignored; an item of fewer than ``span`` words
 is one window; equal items are each reported; documents with equal ids are judged each; an empty benchmark hits nothing;
-other columns are ignored.
+other columns come back as they were, whatever their names, from ``decontaminate``; ``find_hits`` replaces columns of
+the names that it adds.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import table
+from stackmill.llm.common import set_apart, stash, table
 
 SPAN = 10
-#: Words of benchmark items in one automaton.
-MAX_WORDS = 2_000_000
+#: Words of benchmark items in one automaton; 100,000 take about 100 MB while it is built.
+MAX_WORDS = 200_000
 #: Lower-cases A-Z and turns every byte that is in no word into a space; bytes from 0x80 belong to words.
 _TO_WORDS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -192,11 +193,13 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: in
     where = keep.index("text")
     out = docs.select(*keep)
     shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-    blocks = list(item_blocks(items, "item_id", "text", max_words)) or [[]]
-    for number, block in enumerate(blocks):
+    blocks = item_blocks(items, "item_id", "text", max_words)
+    block, number = next(blocks, []), 0
+    while block is not None:
+        after = next(blocks, None)
         automaton = spark.sparkContext.broadcast(Automaton(block, span))
 
-        def run(batches, automaton=automaton, later=number > 0, last=number + 1 == len(blocks)):
+        def run(batches, automaton=automaton, later=number > 0, last=after is None):
             a = automaton.value
             for batch in batches:
                 counts, spans, found, stay = [], [], [], []
@@ -219,6 +222,9 @@ def find_hits(docs: DataFrame, items: DataFrame, span: int = SPAN, max_words: in
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(spans, shape), pa.array(found, pa.list_(pa.string()))], [*keep, "n_words", "spans", "items"])
 
         out = out.mapInArrow(run, schema)
+        if after is not None:
+            out = stash(out, "block-hits")
+        block, number = after, number + 1
     return out
 
 
@@ -243,7 +249,8 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, span: int = SPAN, max_coverage: float = 0.5) -> DataFrame:
     """Documents with hit spans removed; documents of which more than max_coverage of the words are hit are dropped."""
-    return find_hits(docs, items, span, coverage=max_coverage).select(*docs.columns)
+    named, back = set_apart(docs, "text")
+    return back(find_hits(named, items, span, coverage=max_coverage))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,20 +82,24 @@ def rule_metrics(counts: DataFrame) -> DataFrame:
     )
 
 
-def binomial_cdf(k: int, n: int, p: float) -> float:
-    """P(X <= k) of a binomial, exactly but for rounding."""
-    if p <= 0 or k >= n:
-        return 1.0
-    if p >= 1:
-        return 0.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+def binomial_cdf(k: Column, n: Column, p: float) -> Column:
+    """P(X <= k) of a binomial, exactly but for rounding: the terms follow from each other and are summed as logarithms."""
+    odds = math.log(p) - math.log1p(-p)
+    start = F.struct((n * math.log1p(-p)).alias("term"), (n * math.log1p(-p)).alias("sum"))
 
+    def step(acc: Column, i: Column) -> Column:
+        term = acc["term"] + F.log((n - i + 1) / i) + odds
+        high = F.greatest(term, acc["sum"])
+        return F.struct(term.alias("term"), (high + F.log1p(F.exp(F.least(term, acc["sum"]) - high))).alias("sum"))
 
-def proven(k: int, n: int, risk: float, level: float) -> bool:
-    """Whether the Clopper-Pearson upper bound of k false rejections among n, at error ``level``, is at most ``risk``."""
-    return n > 0 and binomial_cdf(k, n, risk) <= level
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return F.least(F.lit(1.0), F.exp(F.aggregate(terms, start, step)["sum"]))
+
+
+def proven(k: Column, n: Column, risk: float, level: Column) -> Column:
+    """Whether the Clopper-Pearson upper bound of k false rejections among n, at error ``level`` (below a half), is at most
+    ``risk``. More than n * risk rejections never prove it, so their terms are not summed."""
+    return (n > 0) & (k <= n * risk) & (binomial_cdf(F.when(k <= n * risk, k).otherwise(F.lit(0)), n, risk) <= level)
 
 
 def holdout_counts(holdout: DataFrame, stratum: str) -> DataFrame:
@@ -104,23 +108,25 @@ def holdout_counts(holdout: DataFrame, stratum: str) -> DataFrame:
     return holdout.groupBy(stratum).agg(F.count("*").alias("n"), *over)
 
 
-def learn_cutoffs(counts: list, stratum: str, risk: float = RISK, delta: float = DELTA) -> dict:
-    """stratum value -> rule -> cutoff (absent: the rule is not used there), from the rows of ``holdout_counts``."""
-    level, share = delta / max(1, len(counts) * len(RULES)), risk / len(RULES)
-    out: dict = {}
-    for row in counts:
-        for rule in RULES:
-            for j, cutoff in enumerate(GRID):
-                if not proven(row[f"{rule}_{j}"], row["n"], share, level):
-                    break
-                out.setdefault(row[stratum], {})[rule] = cutoff
-    return out
+def learn_cutoffs(counts: DataFrame, stratum: str, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """stratum and for every rule its cutoff (null: the rule is not used there), from the rows of ``holdout_counts``."""
+    counts = stash(counts, "rule-holdout")
+    level, share = F.lit(delta / max(1, counts.count() * len(RULES))), risk / len(RULES)
+
+    def cutoff(rule: str) -> Column:
+        tightest = F.lit(None).cast("double")
+        for j in reversed(range(len(GRID))):  # tested from the loosest, up to the first failure
+            tightest = F.when(proven(F.col(f"{rule}_{j}"), F.col("n"), share, level), F.coalesce(tightest, F.lit(GRID[j])))
+        return tightest
+
+    return stash(counts.select(stratum, *[cutoff(r).alias(r) for r in RULES]), "rule-cutoffs")
 
 
 def apply_rules(metrics: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame:
     """Adds kept: false if base_failed or any metric lies over its cutoff."""
     cut = cutoffs.select(F.col(stratum).alias("_st"), *[F.col(r).alias(f"_cut_{r}") for r in RULES])
-    joined = metrics.join(F.broadcast(cut), metrics[stratum].eqNullSafe(cut["_st"]), "left")
+    cut = F.broadcast(cut) if cut.limit(MANY_STRATA + 1).count() <= MANY_STRATA else cut
+    joined = metrics.join(cut, metrics[stratum].eqNullSafe(cut["_st"]), "left")
     over = [F.coalesce(F.col(r) > F.col(f"_cut_{r}"), F.lit(False)) for r in RULES]
     bad = over[0]
     for x in over[1:]:
@@ -129,23 +135,16 @@ def apply_rules(metrics: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFra
 
 
 #: Strata beyond this many are not broadcast: they are joined by a shuffle.
-MAX_STRATA = 10_000
+MANY_STRATA = 10_000
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """All documents with counts, metrics and kept. Counts are made once and written; labels are joined to counts, not to texts."""
-    spark = docs.sparkSession
     counted = stash(base_counts(docs.select("doc_id", "text", stratum)).drop("text"), "rule-counts")
     metrics = rule_metrics(counted)
     good = labels.filter(F.col("quality") == 1).select("doc_id").distinct()
     holdout = metrics.filter(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    counts = holdout_counts(holdout, stratum).limit(MAX_STRATA + 1).collect()
-    if len(counts) > MAX_STRATA:
-        raise ValueError(f"more than {MAX_STRATA} strata: choose a coarser stratum")
-    found = learn_cutoffs(counts, stratum, risk, delta)
-    rows = [(s, *[v.get(r) for r in RULES]) for s, v in found.items()]
-    schema = f"{stratum} {metrics.schema[stratum].dataType.simpleString()}, " + ", ".join(f"{r} double" for r in RULES)
-    return apply_rules(metrics, spark.createDataFrame(rows, schema), stratum)
+    return apply_rules(metrics, learn_cutoffs(holdout_counts(holdout, stratum), stratum, risk, delta), stratum)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

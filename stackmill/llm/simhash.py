@@ -8,6 +8,9 @@ under their own value only, so no pair is tested twice for one segment. A group
 spanning forest, never all its pairs; each task then merges its links to one star per local component before anything is
 shuffled. ``near_groups`` resolves the links with distributed connected components.
 
+One fingerprint of 64 bits finds few of the pairs that are only just similar. ``near_groups`` takes several seeds, and then
+links texts that are linked by any of their fingerprints, each searched by itself.
+
 Defined cases: null, empty or blank texts have fingerprint zero, linked like any other; texts of fewer words than a
 shingle hash the whole sequence; equal fingerprints are one node, so exact copies, of however many rows, cost nothing
 beyond a count; repeated ids and other columns are harmless; an empty table gives no rows.
@@ -15,7 +18,8 @@ beyond a count; repeated ids and other columns are harmless; an empty table give
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +38,11 @@ ROWS_PER_TASK = 2_000_000
 _CHUNK = 1 << 16
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of one UTF-8 text; bytes.lower and bytes.split are ASCII-only, as the word rule wants."""
+def fingerprint(data: bytes, shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> list[int]:
+    """SimHashes of one UTF-8 text, one for each seed; bytes.lower and bytes.split are ASCII-only, as the word rule wants."""
     words = data.lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     joined = b" ".join(words)
     if len(words) < shingle:
         starts, ends = [0], [len(joined)]
@@ -46,22 +50,26 @@ def fingerprint(data: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         last = np.cumsum(lengths + 1) - 1
         starts, ends = (last - lengths)[: len(words) - shingle + 1].tolist(), last[shingle - 1 :].tolist()
-    digest, n, votes = xxhash.xxh64_intdigest, len(starts), np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
-        hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], np.uint64)
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+    digest, n, out = xxhash.xxh64_intdigest, len(starts), []
+    for seed in seeds:
+        votes = np.zeros(64, np.int64)
+        for at in range(0, n, _CHUNK):
+            hashes = np.array([digest(joined[a:b], seed) for a, b in zip(starts[at : at + _CHUNK], ends[at : at + _CHUNK])], np.uint64)
+            votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> DataFrame:
+    """doc_id and for each seed a fingerprint fp0, fp1, ... (the 64 bits as a signed long)."""
+    names = [f"fp{k}" for k in range(len(seeds))]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"") for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            fps = np.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", shingle, seeds) for x in batch.column(1)], np.uint64).reshape(-1, len(seeds))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in fps.view(np.int64).T.copy())], ["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
 
 
 def ball_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,32 +160,44 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return keys.repartition(n, "key").mapInArrow(linked, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) for every document."""
-    fps = stash(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "fingerprint-nodes")
-    components = connected_components(near_links(nodes), "a", "b")
-    owner = nodes.join(components, nodes["rep"] == components["node"], "left").select(nodes["fp"].alias("_fp"), F.coalesce("component", "rep").alias("component_id"))
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> DataFrame:
+    """doc_id, the fingerprints (fp0, ...) and component_id (smallest doc_id reachable over links) for every document. Texts
+    are linked if their fingerprints of any one seed are."""
+    fps = stash(fingerprints(docs, id_col, text_col, shingle, seeds), "fingerprints")
+    names = fps.columns[1:]
+    nodes = stash(fps.groupBy(*names).agg(F.min("doc_id").alias("rep")).filter("rep is not null"), "fingerprint-nodes")
+    links = []
+    for name in names:
+        heads = nodes.groupBy(F.col(name).alias("fp")).agg(F.min("rep").alias("rep"))
+        if len(names) > 1:
+            heads = stash(heads, "fingerprint-heads")
+            equal = nodes.join(heads.select(F.col("fp").alias(name), F.col("rep").alias("b")), name)
+            links.append(equal.filter("rep <> b").select(F.col("rep").alias("a"), "b"))
+        links.append(stash(near_links(heads), "fingerprint-links"))
+    components = connected_components(reduce(DataFrame.unionByName, links), "a", "b")
+    owner = nodes.join(components, nodes["rep"] == components["node"], "left").select(*[F.col(c).alias(f"_{c}") for c in names], F.coalesce("component", "rep").alias("component_id"))
     # a join that Spark can split where one fingerprint holds much of the rows
-    return fps.join(owner, fps["fp"] == owner["_fp"], "left").select("doc_id", "fp", "component_id")
+    same = reduce(lambda x, y: x & y, [fps[c] == owner[f"_{c}"] for c in names])
+    return fps.join(owner, same, "left").select("doc_id", *names, "component_id")
 
 
-def keep_first(docs: DataFrame) -> DataFrame:
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> DataFrame:
     """docs without the members of near-duplicate groups other than the one with the smallest id. Rows that share an id
-    are one document: one of them stays. Rows with a null id belong to no group and stay."""
-    groups = stash(near_groups(docs), "near-groups")
+    are one document: one of them stays, the same one in every run. Rows with a null id belong to no group and stay."""
+    groups = stash(near_groups(docs, shingle=shingle, seeds=seeds).select("doc_id", "component_id"), "near-groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = stash(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
-        return kept.select(docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+        return kept
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return kept.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select("_row.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
-    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
 
 
 QUERIES = {"op5_simhash": op5_simhash}

@@ -47,3 +47,11 @@ def test_removal(spark, docs_of):
     assert 1 not in out and not brute(out[0], [(1, item)])[1]
     assert D.decontaminate(docs.limit(0), items).count() == 0
     assert D.decontaminate(docs, items.limit(0)).count() == 4
+
+
+def test_user_columns_come_back_as_they_were(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, "plain text", 7, "mine", [1]), (2, item + " " + item.replace("q", "r"), 8, None, None)], "doc_id long, text string, n_words long, spans string, items array<int>")
+    out = D.decontaminate(docs, spark.createDataFrame([(1, item, 0)], ITEMS))
+    assert out.columns == docs.columns
+    assert sorted((r["doc_id"], r["n_words"], r["spans"], r["items"]) for r in out.collect()) == [(1, 7, "mine", [1]), (2, 8, None, None)]

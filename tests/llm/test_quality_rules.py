@@ -1,5 +1,8 @@
+import math
 import re
 
+from pyspark.sql import functions as F
+
 from stackmill.llm import quality_rules as Q
 
 LONG = "lorem ipsum dolor " * 4000
@@ -30,13 +33,32 @@ def test_base_counts_match_brute_force(docs_of):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
-def test_bound_is_clopper_pearson():
+def cdf(k, n, p):
+    return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+
+def test_bound_is_clopper_pearson(spark):
+    def proven(k, n, risk, level):
+        row = spark.createDataFrame([(k, n)], "k long, n long")
+        return row.select(Q.proven(F.col("k"), F.col("n"), risk, F.lit(level))).first()[0]
+
     # the upper bound of 0 in n at level a is 1 - a ** (1 / n)
     for n, level in ((50, 0.05), (400, 0.001)):
         bound = 1 - level ** (1 / n)
-        assert Q.proven(0, n, bound * 1.0001, level) and not Q.proven(0, n, bound * 0.9999, level)
-    assert not Q.proven(0, 0, 0.5, 0.05) and not Q.proven(5, 5, 0.5, 0.05)
-    assert abs(Q.binomial_cdf(3, 10, 0.3) - 0.6496107184) < 1e-9
+        assert proven(0, n, bound * 1.0001, level) and not proven(0, n, bound * 0.9999, level)
+    assert not proven(0, 0, 0.5, 0.05) and not proven(5, 5, 0.5, 0.05)
+    cases = [(k, n) for n in (1, 10, 300) for k in range(0, n, 7)]
+    for p in (0.05, 0.3):
+        rows = spark.createDataFrame(cases, "k long, n long").select("k", "n", Q.binomial_cdf(F.col("k"), F.col("n"), p).alias("c")).collect()
+        assert all(abs(r["c"] - cdf(r["k"], r["n"], p)) < 1e-9 for r in rows)
+
+
+def test_many_strata_are_joined_by_a_shuffle(spark, docs_of, monkeypatch):
+    docs = docs_of([" ".join(f"w{i}" for i in range(80))] * 20)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    want = sorted(map(str, Q.quality_rules(docs, labels, "source").collect()))
+    monkeypatch.setattr(Q, "MANY_STRATA", 0)
+    assert sorted(map(str, Q.quality_rules(docs, labels, "source").collect())) == want and len(want) == 20
 
 
 def test_cutoffs_need_proof_and_apply_per_stratum(spark, docs_of):
@@ -53,8 +75,8 @@ def test_cutoffs_need_proof_and_apply_per_stratum(spark, docs_of):
     assert Q.quality_rules(docs.limit(0), labels).count() == 0
 
 
-def test_learnt_cutoffs_keep_the_promise():
+def test_learnt_cutoffs_keep_the_promise(spark):
     row = {"s": "a", "n": 1000} | {f"{r}_{j}": 0 for r in Q.RULES for j in range(len(Q.GRID))}
     row["symbol_rate_5"] = 90
-    cut = Q.learn_cutoffs([row], "s")["a"]
+    cut = Q.learn_cutoffs(spark.createDataFrame([row]), "s").first()
     assert cut["symbol_rate"] == Q.GRID[4] and cut["dup_line_rate"] == Q.GRID[-1]

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -37,12 +38,12 @@ def components(fps, ids):
 def test_fingerprints():
     for text in TEXTS:
         if text is None or len(text) < 10_000:
-            assert S.fingerprint((text or "").encode()) == brute(text)
+            assert S.fingerprint((text or "").encode()) == [brute(text)]
 
 
 def test_groups_match_brute_force(docs_of):
-    got = {r["doc_id"]: (r["fp"] % 2**64, r["component_id"]) for r in S.near_groups(docs_of(TEXTS)).collect()}
-    fps = [S.fingerprint((t or "").encode()) for t in TEXTS]
+    got = {r["doc_id"]: (r["fp0"] % 2**64, r["component_id"]) for r in S.near_groups(docs_of(TEXTS)).collect()}
+    fps = [S.fingerprint((t or "").encode())[0] for t in TEXTS]
     want = components(fps, list(range(len(TEXTS))))
     assert got == {i: (fps[i], want[i]) for i in range(len(TEXTS))}
 
@@ -73,3 +74,27 @@ def test_keep_first(docs_of):
     twice = docs_of(texts, ids=[0, 0, 1, 3, 4, 4])
     assert sorted(r["doc_id"] for r in S.keep_first(twice).collect()) == [0, 3, 4]
     assert S.keep_first(docs_of(texts).limit(0)).count() == 0
+
+
+def test_several_fingerprints_against_brute_force(spark):
+    rng = random.Random(8)
+    base = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(80)) for _ in range(12)]
+    texts = [t.replace(t.split()[rng.randrange(80)], "changed", 1) if rng.random() < 0.8 else t for t in base for _ in range(4)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seeds = (42, 1, 2)
+    fps = [S.fingerprint((t or "").encode(), 5, seeds) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if any((a ^ b).bit_count() <= 4 for a, b in zip(fps[i], fps[j])):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    got = {r["doc_id"]: r["component_id"] for r in S.near_groups(docs, shingle=5, seeds=seeds).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) < len(texts)
+
+
+def test_keep_first_is_the_same_row_and_keeps_columns(spark):
+    rows = [(1, f"text {k} " * 30, k, "x") for k in range(6)] + [(None, "a", 9, None), (None, "a", 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp0 int, component_id string")
+    one, two = (sorted(S.keep_first(d).collect(), key=str) for d in (docs, docs.repartition(5)))
+    assert one == two and len(one) == 3 and S.keep_first(docs).columns == docs.columns
