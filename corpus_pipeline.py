@@ -11,18 +11,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stackmill.llm import decontaminate, mixing, pu_quality, simhash, token_output
-from stackmill.llm.common import stash, table
+from stackmill.llm.common import set_apart, stash, table
+
+
+#: Seeds of the fingerprints of the near-duplicate stage: a pair is found if any one of them links it.
+NEAR_SEEDS = (42, 43, 44)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
-    scored = pu_quality.quality_scores(docs, table(spark, sf_dir, "labels"), "_score")
-    return scored.filter(F.col("_score") >= 0.5).drop("_score")
+    named, back = set_apart(docs, "doc_id", "text")
+    scored = pu_quality.quality_scores(named, table(spark, sf_dir, "labels"))
+    return back(scored.filter(F.col("score") >= 0.5))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every near-duplicate group the document with the smallest id; the rest goes."""
-    return simhash.keep_first(docs)
+    """Of every near-duplicate group, by three fingerprints of shingles of five words, the document with the smallest id."""
+    return simhash.keep_first(docs, shingle=5, seeds=NEAR_SEEDS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
