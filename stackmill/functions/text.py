@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,24 +17,26 @@ WS = " \t\n\r\x0b\x0c"
 CITATION = r"\[\s*(\d+)\s*\]|【\s*(\d+)\s*】"
 
 
-def split_offsets(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[dict]:
-    """B25. Pieces of at most size characters that overlap: each ends at the last line feed of its second half, else at
-    the last full stop there; every start depends on the piece before, so a text is one sequential unit."""
-    text = re.sub(r"\n{3,}", "\n\n", text).strip()
-    out, start, n = [], 0, len(text)
-    while start < n:
-        end = min(start + size, n)
-        if n > size and end < n:
-            half = start + size // 2
-            found = next((p for p in (text.rfind(mark, half, end) for mark in ("\n", "。", ". ")) if p >= 0), -1)
-            end = found + 1 if found >= 0 else end
-        piece = text[start:end].strip()
-        if piece:
-            out.append({"offset": start, "text": piece})
-        if end >= n:
-            break
-        start = max(end - overlap, start + 1)
-    return out
+#: Where a piece may end, best first.
+_MARKS = ("\n", "。", ". ")
+_MARK, _BLANK_LINES = re.compile(r"\n|。|\. "), re.compile(r"\n{3,}")
+
+
+def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Iterator[tuple[int, int]]:
+    """B25. (start, stop) of the pieces of a stripped text. The places where pieces may stop are listed once, a sorted list
+    for each mark; a piece then takes the last one of the best mark that has any in its second half."""
+    stops: dict[str, list[int]] = {mark: [] for mark in _MARKS}
+    for found in _MARK.finditer(text):
+        stops[found.group()].append(found.start() + 1)
+    start = stop = 0
+    while stop < len(text):
+        least, stop = start + size // 2, min(start + size, len(text))
+        if stop < len(text):
+            # a mark lies within the piece as a whole, though a piece stops after the mark's first character
+            last = ((places, bisect_right(places, stop + 1 - len(mark)) - 1) for mark, places in stops.items())
+            stop = next((places[k] for places, k in last if k >= 0 and places[k] > least), stop)
+        yield start, stop
+        start = max(stop - overlap, start + 1)
 
 
 _PIECES = ty.ArrayType(ty.StructType([ty.StructField("offset", ty.IntegerType()), ty.StructField("text", ty.StringType())]))
@@ -41,9 +44,15 @@ _PIECES = ty.ArrayType(ty.StructType([ty.StructField("offset", ty.IntegerType())
 
 @F.pandas_udf(_PIECES)
 def chunk_pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Null or blank texts have no pieces."""
+    """Offsets and stripped texts of the pieces that are not blank; null or blank texts have none."""
+
+    def pieces(text: str | None) -> list[dict]:
+        text = _BLANK_LINES.sub("\n\n", text or "").strip()
+        spans = ((start, text[start:stop].strip()) for start, stop in chunk_spans(text))
+        return [{"offset": start, "text": piece} for start, piece in spans if piece]
+
     for batch in texts:
-        yield batch.map(lambda t: split_offsets(t) if t else [])
+        yield batch.map(pieces)
 
 
 def terms(text: Column) -> Column:
