@@ -39,20 +39,20 @@ def chunk_spans(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
         start = max(stop - overlap, start + 1)
 
 
+def chunk_texts(text: str | None) -> list[dict]:
+    """Offsets and stripped texts of the pieces that are not blank; null or blank texts have none."""
+    text = _BLANK_LINES.sub("\n\n", text or "").strip()
+    spans = ((start, text[start:stop].strip()) for start, stop in chunk_spans(text))
+    return [{"offset": start, "text": piece} for start, piece in spans if piece]
+
+
 _PIECES = ty.ArrayType(ty.StructType([ty.StructField("offset", ty.IntegerType()), ty.StructField("text", ty.StringType())]))
 
 
 @F.pandas_udf(_PIECES)
 def chunk_pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Offsets and stripped texts of the pieces that are not blank; null or blank texts have none."""
-
-    def pieces(text: str | None) -> list[dict]:
-        text = _BLANK_LINES.sub("\n\n", text or "").strip()
-        spans = ((start, text[start:stop].strip()) for start, stop in chunk_spans(text))
-        return [{"offset": start, "text": piece} for start, piece in spans if piece]
-
     for batch in texts:
-        yield batch.map(pieces)
+        yield batch.map(chunk_texts)
 
 
 def terms(text: Column) -> Column:

@@ -80,7 +80,9 @@ def embed_caption(figure_caption: Column, caption: Column, number: Column, kind:
 def hashed_vector(terms: Column, dims: int = VECTOR_DIMS) -> Column:
     """G1, G2. The default encoder: term counts by hash bucket, built without Python."""
     slot = F.transform(terms, lambda t: F.conv(F.substring(F.md5(t), 1, 4), 16, 10).cast("int") % dims)
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slot, lambda s: s == d)).cast("double"))
+    # the slots are bound once, not worked out again for every dimension
+    counts = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda s: s == d)).cast("double"))
+    return F.element_at(F.transform(F.array(slot), counts), 1)
 
 
 def align(sentences: DataFrame, subs: DataFrame) -> DataFrame:
@@ -139,8 +141,10 @@ def d10_renumber(spark, sf_dir):
 def d11_align(spark, sf_dir):
     s = _sentences(spark, sf_dir).withColumn("vector", hashed_vector(T.terms(F.col("raw"))))
     refs = answers(spark, sf_dir).select("answer_id", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("ref"))
-    source = views.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), hashed_vector(T.terms(F.col("text"))).alias("vector"))
-    subs = refs.withColumn("d", (F.col("answer_id") * 4 + F.col("ref")) % 200).join(source, "d").select("answer_id", "ref", "vector")
+    docs = views.table(spark, sf_dir, "documents")
+    source = docs.select(F.col("doc_id").alias("d"), hashed_vector(T.terms(F.col("text"))).alias("vector"))
+    refs = refs.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n"))))  # one row
+    subs = refs.withColumn("d", (F.col("answer_id") * 4 + F.col("ref")) % F.col("n")).join(source, "d").select("answer_id", "ref", "vector")
     return align(s, subs).withColumn("score", F.round("score", 6))
 
 
@@ -248,7 +252,7 @@ ORACLES = {
         "r": r"SELECT *, list_transform(ms, lambda x, i: CASE WHEN ns[i] > n THEN x WHEN x[1] = '【' THEN '【' || list_position(us, ns[i]) || '】' ELSE '[' || list_position(us, ns[i]) || ']' END) AS fs FROM u"},
         body="SELECT answer_id, array_to_string(us, ',') AS used, (length(answer) - length(array_to_string(ms, '')) + length(array_to_string(fs, '')))::INT AS n_chars, array_to_string(fs, '') AS markers FROM r"),
     "d11_align": with_views("v_body", more={**_ANSWERS, "sv": f"SELECT answer_id, sentence_index, unnest(refs) AS ref, {_VEC.format('raw')} AS v FROM se", "so": f"SELECT doc_id AS d, {_VEC.format('text')} AS v FROM documents",
-        "sc": "SELECT sv.answer_id, sv.ref, sentence_index, round(coalesce(list_cosine_similarity(sv.v, so.v), 0), 9) AS score FROM sv JOIN so ON so.d = (sv.answer_id * 4 + sv.ref) % 200 WHERE sv.ref <= 4"},
+        "sc": "SELECT sv.answer_id, sv.ref, sentence_index, round(coalesce(list_cosine_similarity(sv.v, so.v), 0), 9) AS score FROM sv JOIN so ON so.d = (sv.answer_id * 4 + sv.ref) % (SELECT count(*) FROM documents) WHERE sv.ref <= 4"},
         body="SELECT answer_id, ref, sentence_index, round(score, 6) AS score FROM sc WHERE score >= 0.42 QUALIFY row_number() OVER (PARTITION BY answer_id, ref ORDER BY score DESC, sentence_index DESC) = 1"),
     "d12_markdown_table": with_views(more=_ANSWERS, body=f"SELECT answer_id, {_HAS.format('answer')} AS has_table FROM an"),
     "d13_skip_table_embed": with_views(more={**_ANSWERS, "nw": "SELECT *, string_agg(raw, chr(10)) OVER (PARTITION BY answer_id ORDER BY sentence_index ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS near FROM se"}, body=f"SELECT answer_id, sentence_index, {_HAS.format('near')} AND len(refs) > 0 AS skip FROM nw"),

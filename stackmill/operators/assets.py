@@ -261,8 +261,8 @@ def c12_merge_tables(spark, sf_dir):
     a = views.assets(spark, sf_dir)
     top = F.col("asset_id") % 2 == 0
     t = a.select(
-        "doc_id", F.col("asset_id").alias("ord"), (F.col("asset_id") % 100000 / 3).cast("int").alias("page"), F.lit(None).cast("string").alias("section"), "x0",
-        F.when(top, 40.0).otherwise(100.0).alias("y0"), "x1", F.lit(760.0).alias("y1"), F.when(F.col("asset_id") % 5 == 0, F.lit("")).otherwise(F.concat((F.col("asset_id") % 100000 / 9).cast("int").cast("string"), F.lit("-1"))).alias("figure_number"),
+        "doc_id", F.col("asset_id").alias("ord"), (F.col("asset_id") % 16777216 / 3).cast("int").alias("page"), F.lit(None).cast("string").alias("section"), "x0",
+        F.when(top, 40.0).otherwise(100.0).alias("y0"), "x1", F.lit(760.0).alias("y1"), F.when(F.col("asset_id") % 5 == 0, F.lit("")).otherwise(F.concat((F.col("asset_id") % 16777216 / 9).cast("int").cast("string"), F.lit("-1"))).alias("figure_number"),
         F.when(F.col("asset_id") % 4 == 0, F.col("summary")).alias("caption"), (F.col("doc_id") % 3).cast("int").alias("n_cols"),
     )
     return merge_across_pages(t).select("doc_id", "island", "page", "last_page", "y0", "figure_number", "caption", "n_parts")
@@ -288,10 +288,7 @@ def c18_forward_attach(spark, sf_dir):
 
 
 def c19_reverse_attach(spark, sf_dir):
-    numbered = numbered_assets(views.assets(spark, sf_dir))
-    done = forward_attach(_refs(spark, sf_dir).filter("doc_id % 2 = 0"), numbered)
-    left = numbered.join(done.select("asset_id"), "asset_id", "left_anti").select("doc_id", "kind", "figure_number", "asset_id")
-    return reverse_attach(views.ref_lines(spark, sf_dir), left)
+    return reverse_attach(views.ref_lines(spark, sf_dir), numbered_assets(views.assets(spark, sf_dir)).select("doc_id", "kind", "figure_number", "asset_id"))
 
 
 def c20_reading_order_attach(spark, sf_dir):
@@ -299,8 +296,9 @@ def c20_reading_order_attach(spark, sf_dir):
 
 
 def c21_orphan_chunks(spark, sf_dir):
+    """Assets that no text cites, as chunks of their own."""
     a = views.assets(spark, sf_dir)
-    attached = reading_order_attach(views.ref_lines(spark, sf_dir).filter("chunk_index % 9 = 8"), a)
+    attached = forward_attach(_refs(spark, sf_dir), numbered_assets(a))
     return a.join(attached.select("asset_id"), "asset_id", "left_anti").select("doc_id", "asset_id", "page", F.lit("").alias("text"))
 
 
@@ -326,8 +324,8 @@ _READING = """SELECT a.doc_id, a.asset_id, arg_max(c.chunk_index, CASE WHEN c.pa
   ON a.doc_id = c.doc_id AND c.page BETWEEN a.page - 2 AND a.page AND (c.page < a.page OR (c.y1 <= a.y0 + 4 AND c.y0 <= a.y0 + 4)) WHERE trim(c.text) <> '' GROUP BY a.doc_id, a.asset_id"""
 _HTML = {"ro": "SELECT l_orderkey, l_linenumber::VARCHAR AS a, coalesce(l_returnflag, '') AS b, CASE WHEN l_linenumber % 2 = 0 THEN l_linestatus ELSE '' END AS c, l_linenumber FROM lineitem"}
 _ISLANDS = {
-    "t": """SELECT doc_id, asset_id AS ord, floor(asset_id % 100000 / 3)::INT AS page, (CASE WHEN asset_id % 2 = 0 THEN 40.0 ELSE 100.0 END)::DOUBLE AS y0, 760.0 AS y1, CASE WHEN asset_id % 5 = 0 THEN NULL ELSE floor(asset_id % 100000 / 9)::INT || '-1' END AS fn,
-      CASE WHEN asset_id % 5 = 0 THEN '' ELSE floor(asset_id % 100000 / 9)::INT || '-1' END AS figure_number, CASE WHEN asset_id % 4 = 0 THEN summary END AS caption, (doc_id % 3)::INT AS n_cols FROM v_assets""",
+    "t": """SELECT doc_id, asset_id AS ord, floor(asset_id % 16777216 / 3)::INT AS page, (CASE WHEN asset_id % 2 = 0 THEN 40.0 ELSE 100.0 END)::DOUBLE AS y0, 760.0 AS y1, CASE WHEN asset_id % 5 = 0 THEN NULL ELSE floor(asset_id % 16777216 / 9)::INT || '-1' END AS fn,
+      CASE WHEN asset_id % 5 = 0 THEN '' ELSE floor(asset_id % 16777216 / 9)::INT || '-1' END AS figure_number, CASE WHEN asset_id % 4 = 0 THEN summary END AS caption, (doc_id % 3)::INT AS n_cols FROM v_assets""",
     "u": "SELECT *, CASE WHEN coalesce(page = lag(page) OVER w + 1 AND y0 <= 144 AND (coalesce(fn = lag(fn) OVER w, false) OR ((fn IS NULL OR lag(fn) OVER w IS NULL) AND n_cols > 0 AND n_cols = lag(n_cols) OVER w)), false) THEN 0 ELSE 1 END AS new FROM t WINDOW w AS (PARTITION BY doc_id ORDER BY page, ord)",
     "i": "SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY page, ord)::BIGINT AS island FROM u"}
 
@@ -345,15 +343,15 @@ ORACLES = {
     "c08_html_cells": with_views(body="SELECT l_orderkey, (count(*) + 1)::INT AS n_rows, 3 AS n_cols, (2 + sum((a <> '')::INT + (b <> '')::INT + (c <> '')::INT))::INT AS n_filled FROM ro GROUP BY l_orderkey", more=_HTML),
     "c09_markdown": with_views(body="SELECT l_orderkey, substr('| no | flag |   |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || a || ' | ' || CASE WHEN b = '' THEN ' ' ELSE b END || ' | ' || CASE WHEN c = '' THEN ' ' ELSE c END || ' |', chr(10) ORDER BY l_linenumber, b, c), 1, 4000) AS markdown FROM ro GROUP BY l_orderkey", more=_HTML),
     "c10_markdown_cells": with_views(body="SELECT l_orderkey, (count(*) + 1)::INT AS n_rows, 3 AS n_cols, md5('no|flag||' || string_agg(a || '|' || b || '|' || c, '|' ORDER BY l_linenumber, b, c)) AS cells_md5 FROM ro GROUP BY l_orderkey", more=_HTML),
-    "c12_merge_tables": with_views("v_assets", more=_ISLANDS, body="SELECT doc_id, island, arg_min(page, page::BIGINT * 1000000000 + ord % 100000) AS page, max(page) AS last_page, arg_min(y0, page::BIGINT * 1000000000 + ord % 100000) AS y0, arg_min(fn, page::BIGINT * 1000000000 + ord % 100000) FILTER (fn IS NOT NULL) AS figure_number, arg_max(caption, page::BIGINT * 1000000000 + ord % 100000) FILTER (caption <> '') AS caption, count(*) AS n_parts FROM i GROUP BY doc_id, island"),
+    "c12_merge_tables": with_views("v_assets", more=_ISLANDS, body="SELECT doc_id, island, arg_min(page, page::BIGINT * 1000000000 + ord % 16777216) AS page, max(page) AS last_page, arg_min(y0, page::BIGINT * 1000000000 + ord % 16777216) AS y0, arg_min(fn, page::BIGINT * 1000000000 + ord % 16777216) FILTER (fn IS NOT NULL) AS figure_number, arg_max(caption, page::BIGINT * 1000000000 + ord % 16777216) FILTER (caption <> '') AS caption, count(*) AS n_parts FROM i GROUP BY doc_id, island"),
     "c15_vision_json": "SELECT event_id, CASE WHEN ok THEN (['table', 'diagram', 'photo', 'figure'])[event_id % 4 + 1] END AS kind, CASE WHEN ok THEN event_type END AS caption FROM (SELECT *, event_id % 5 <> 0 AND (event_id % 3 = 0 OR event_id % 7 <> 0) AS ok FROM events)",
     "c16_references": with_views("v_refs", body=_REFS),
     "c17_numbered_assets": with_views("v_assets", more={"nu": _NUMBERED}, body="SELECT doc_id, kind, figure_number, asset_id FROM nu"),
     "c18_forward_attach": with_views("v_refs", "v_assets", more={"nu": _NUMBERED, "rf": _REFS}, body=_FORWARD.format("rf")),
-    "c19_reverse_attach": with_views("v_refs", "v_assets", more={"nu": _NUMBERED, "rf": _REFS, "ev": "SELECT * FROM rf WHERE doc_id % 2 = 0", "dn": _FORWARD.format("ev")},
+    "c19_reverse_attach": with_views("v_refs", "v_assets", more={"nu": _NUMBERED, "rf": _REFS, "ev": "SELECT * FROM rf WHERE false", "dn": _FORWARD.format("ev")},
         body="SELECT doc_id, chunk_index, asset_id, kind, figure_number FROM rf JOIN (SELECT * FROM nu WHERE asset_id NOT IN (SELECT asset_id FROM dn)) USING (doc_id, kind, figure_number) QUALIFY row_number() OVER (PARTITION BY doc_id, asset_id ORDER BY chunk_index) = 1"),
     "c20_reading_order_attach": with_views("v_refs", "v_assets", body=_READING.format("v_refs")),
-    "c21_orphan_chunks": with_views("v_refs", "v_assets", more={"c": "SELECT * FROM v_refs WHERE chunk_index % 9 = 8", "r": _READING.format("c")}, body="SELECT doc_id, asset_id, page, '' AS text FROM v_assets WHERE asset_id NOT IN (SELECT asset_id FROM r)"),
+    "c21_orphan_chunks": with_views("v_refs", "v_assets", more={"nu": _NUMBERED, "rf": _REFS, "dn": _FORWARD.format("rf")}, body="SELECT doc_id, asset_id, page, '' AS text FROM v_assets WHERE asset_id NOT IN (SELECT asset_id FROM dn)"),
     "a09_index_payload": with_views("v_refs", "v_assets", more={"r": _READING.format("v_refs"), "k": "SELECT r.doc_id, r.chunk_index, string_agg(DISTINCT kind, ',' ORDER BY kind) AS asset_types FROM r JOIN v_assets USING (asset_id) GROUP BY ALL"},
         body="SELECT v.doc_id, v.chunk_index, page, coalesce(asset_types, '') AS asset_types FROM v_refs v LEFT JOIN k USING (doc_id, chunk_index)"),
 }

@@ -176,11 +176,11 @@ def x5_attach(spark, sf_dir):
     """Assets to chunks in stages: cited ones, then mentioned ones, then by reading order; the rest are chunks of their own."""
     a, refs = views.assets(spark, sf_dir), views.ref_lines(spark, sf_dir)
     numbered = C.numbered_assets(a)
-    one = C.forward_attach(C._refs(spark, sf_dir).filter("doc_id % 2 = 0"), numbered).select("doc_id", "asset_id", "chunk_index", F.lit("cited").alias("how"))
+    one = C.forward_attach(C._refs(spark, sf_dir), numbered).select("doc_id", "asset_id", "chunk_index", F.lit("cited").alias("how"))
     left = numbered.join(one.select("asset_id"), "asset_id", "left_anti").select("doc_id", "kind", "figure_number", "asset_id")
     two = C.reverse_attach(refs, left).select("doc_id", "asset_id", "chunk_index", F.lit("mentioned").alias("how"))
     done = one.unionByName(two)
-    three = C.reading_order_attach(refs.filter("chunk_index % 6 = 5"), a.join(done.select("asset_id"), "asset_id", "left_anti")).select("doc_id", "asset_id", "chunk_index", F.lit("near").alias("how"))
+    three = C.reading_order_attach(refs, a.join(done.select("asset_id"), "asset_id", "left_anti")).select("doc_id", "asset_id", "chunk_index", F.lit("near").alias("how"))
     attached = done.unionByName(three)
     return a.select("doc_id", "asset_id").join(attached.drop("doc_id"), "asset_id", "left").select("doc_id", "asset_id", "chunk_index", F.coalesce("how", F.lit("orphan")).alias("how"))
 
@@ -193,7 +193,7 @@ def g03_rerank(spark, sf_dir):
 
 def h08_load_ranked(spark, sf_dir):
     hits = S._vector_hits(spark, sf_dir, 10)
-    assets = views.assets(spark, sf_dir).select((F.col("doc_id") * 100000).alias("chunk_id"), "kind", "page", "asset_id")
+    assets = views.assets(spark, sf_dir).select((F.col("doc_id") * 16777216).alias("chunk_id"), "kind", "page", "asset_id")
     out = load_ranked(hits, S._chunks(spark, sf_dir), assets)
     return out.select("query_id", "rank", "chunk_id", F.size("assets").alias("n_assets"), F.array_join(F.transform("assets", lambda a: F.concat(a["kind"], F.lit(":"), a["asset_id"].cast("string"))), ",").alias("assets"))
 
@@ -291,12 +291,12 @@ ORACLES = {
     "c14_routing": with_views("v_assets", more={"p": "SELECT asset_id, (['table', 'photo', NULL, 'diagram'])[asset_id % 4 + 1] AS said, row_number() OVER (PARTITION BY doc_id ORDER BY asset_id) AS place FROM v_assets"},
         body="SELECT asset_id, CASE WHEN asset_id % 7 = 0 THEN 'table' WHEN place > 10 THEN 'figure' WHEN said = 'table' AND asset_id % 3 = 0 THEN 'table' WHEN said <> 'table' THEN said ELSE 'figure' END AS kind FROM p"),
     "c22_regions": with_views("v_assets", body="SELECT asset_id, page, CASE WHEN asset_id % 3 <> 0 AND asset_id % 5 <> 0 THEN y1 ELSE y1 + 1 END AS y1, 1 AS n FROM v_assets"),
-    "x5_attach": with_views("v_refs", "v_assets", more={"nu": C._NUMBERED, "rf": C._REFS, "ev": "SELECT * FROM rf WHERE doc_id % 2 = 0", "f1": C._FORWARD.format("ev"),
+    "x5_attach": with_views("v_refs", "v_assets", more={"nu": C._NUMBERED, "rf": C._REFS, "ev": "SELECT * FROM rf", "f1": C._FORWARD.format("ev"),
         "f2": "SELECT asset_id, chunk_index FROM rf JOIN (SELECT * FROM nu WHERE asset_id NOT IN (SELECT asset_id FROM f1)) USING (doc_id, kind, figure_number) QUALIFY row_number() OVER (PARTITION BY doc_id, asset_id ORDER BY chunk_index) = 1",
-        "dn": "SELECT asset_id, chunk_index, 'cited' AS how FROM f1 UNION ALL SELECT asset_id, chunk_index, 'mentioned' FROM f2", "c": "SELECT * FROM v_refs WHERE chunk_index % 6 = 5", "nr": C._READING.format("c")},
+        "dn": "SELECT asset_id, chunk_index, 'cited' AS how FROM f1 UNION ALL SELECT asset_id, chunk_index, 'mentioned' FROM f2", "c": "SELECT * FROM v_refs", "nr": C._READING.format("c")},
         body="SELECT a.doc_id, a.asset_id, coalesce(dn.chunk_index, nr.chunk_index) AS chunk_index, coalesce(dn.how, CASE WHEN nr.chunk_index IS NOT NULL THEN 'near' END, 'orphan') AS how FROM v_assets a LEFT JOIN dn USING (asset_id) LEFT JOIN nr ON nr.asset_id = a.asset_id"),
     "g03_rerank": S._sql("SELECT query_id, rank, chunk_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, old) - 1 AS rank FROM (SELECT query_id, th.rank AS old, chunk_id, round(len(list_intersect(" + _TERMS.format("text") + ", " + _TERMS.format("query") + ")) * 1.0 / len(list_distinct(" + _TERMS.format("query") + ")), 9)::DOUBLE AS score FROM th JOIN ch USING (chunk_id) JOIN v_queries USING (query_id))) WHERE rank < 3", more={"th": S._HITS["th"]}),
-    "h08_load_ranked": S._sql("SELECT query_id, rank, vh.chunk_id, coalesce(n, 0)::INT AS n_assets, coalesce(a, '') AS assets FROM vh JOIN ch ON ch.chunk_id = vh.chunk_id LEFT JOIN (SELECT doc_id * 100000 AS chunk_id, count(*) AS n, string_agg(kind || ':' || asset_id, ',' ORDER BY kind, page, asset_id) AS a FROM v_assets GROUP BY doc_id) x ON x.chunk_id = vh.chunk_id", "v_assets", more={"vh": S._HITS["vh"]}),
+    "h08_load_ranked": S._sql("SELECT query_id, rank, vh.chunk_id, coalesce(n, 0)::INT AS n_assets, coalesce(a, '') AS assets FROM vh JOIN ch ON ch.chunk_id = vh.chunk_id LEFT JOIN (SELECT doc_id * 16777216 AS chunk_id, count(*) AS n, string_agg(kind || ':' || asset_id, ',' ORDER BY kind, page, asset_id) AS a FROM v_assets GROUP BY doc_id) x ON x.chunk_id = vh.chunk_id", "v_assets", more={"vh": S._HITS["vh"]}),
     "h09_chunk_ids": "SELECT event_id, event_id % 3 <> 0 AS valid FROM events",
     "h10_batch_requests": with_views("v_queries", body="SELECT run, pos, rank, query FROM (SELECT (query_id // 5)::INT AS run, query_id % 5 AS pos, query, row_number() OVER (PARTITION BY query_id // 5 ORDER BY query_id) - 1 AS rank FROM v_queries WHERE query_id % 4 <> 1) WHERE rank < 3"),
     "h20_resolve_section": S._sql("SELECT query_id, doc_id, path, start_page FROM (SELECT sc.query_id, sc.doc_id, sc.path, x.start_page, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, sc.ord) AS n FROM sc JOIN x USING (doc_id, ord) WHERE score > 0) WHERE n = 1", "v_toc", "v_pages", more=S._TOC, chunks=False),

@@ -41,64 +41,62 @@ def cited(sentence: str) -> list[tuple[str, str]]:
     return list(out)
 
 
-class _Sub:
-    def __init__(self, kind: str, text: str, given: list[dict]):
-        self.kind, self.text, self.index_text, self.assets = kind, text, text, []
-        for a in given:
-            self.add(a)
-
-    def add(self, asset: dict) -> None:
-        if all(a["asset_id"] != asset["asset_id"] for a in self.assets):
-            self.assets.append(asset)
-        new = [c for c in (asset.get("caption"),) if c and c.strip() and c.strip() not in self.index_text]
-        self.index_text = "\n".join([*([self.index_text.strip()] if self.index_text.strip() else []), *(c.strip() for c in new)])
-
-    def top(self) -> tuple:
-        return min(map(_place, self.assets), default=_LAST)
-
-    def bottom(self) -> tuple:
-        return max(map(_place, self.assets), default=_FIRST)
-
-
-def _place(asset: dict) -> tuple:
-    return asset["page"], asset["y"]
-
-
 def _apart(a: tuple, b: tuple) -> tuple:
-    return abs(a[0] - b[0]), abs(a[1] - b[1])
+    """Pages first, then points."""
+    return tuple(abs(x - y) for x, y in zip(a, b))
+
+
+def _indexed(text: str, captions: list[str]) -> str:
+    """The text, followed by the captions that it does not hold yet."""
+    for caption in captions:
+        text = text.strip() if caption in text else "\n".join(x for x in (text.strip(), caption) if x)
+    return text
+
+
+def placed_assets(links: list[list[int]], between: list[bool], places: list[tuple]) -> list[list[int]]:
+    """Members of every entry of a chunk. Entry 2 * r + 1 is the r-th citing sentence (links: the assets it cites), entry
+    2 * r the text before it, and the last entry the text after all; between tells which of these texts there are.
+
+    The assets that no sentence cites are dealt in order of the texts: those strictly between what the sentences on both
+    sides hold belong to the text, or, where there is none, to the nearer sentence (the earlier one on a tie), which then
+    reaches further. What lies in no such range joins the sentence whose last asset is nearest.
+    """
+    members: list[list[int]] = [[] for _ in between + links]
+    members[1::2] = [list(dict.fromkeys(x)) for x in links]
+    free = [j for j in range(len(places)) if not any(j in x for x in links)]
+    first = lambda e: min((places[j] for j in members[e]), default=_LAST)
+    last = lambda e: max((places[j] for j in members[e]), default=_FIRST)
+    refs = range(1, len(members), 2)
+    for e in range(0, len(members), 2):
+        low, high = last(e - 1) if e - 1 in refs else _FIRST, first(e + 1) if e + 1 in refs else _LAST
+        inside = [j for j in free if low < places[j] < high]
+        free = [j for j in free if j not in inside]
+        for j in inside:
+            near = [(_apart(places[j], last(r) if r < e else first(r)), r) for r in (e - 1, e + 1) if r in refs]
+            members[e if between[e // 2] or not near else min(near)[1]].append(j)
+    for j in free:
+        members[min((_apart(places[j], last(r)), r) for r in refs)[1]].append(j)
+    return members
 
 
 def sub_index(text: str | None, assets: list[dict]) -> list[dict]:
-    """assets: asset_id, kind, number, page, y, caption in the chunk's order. Null or empty texts have no sentence."""
+    """assets: asset_id, kind, number, page, y, caption in the chunk's order. Null or empty texts have no sentence. A text
+    without any citing sentence gives one entry of its assets, without the text."""
     sentences = [s.strip() for s in _ENDS.split((text or "").strip()) if s.strip()]
-    by_number: dict[tuple, dict] = {}
-    for a in assets:
-        if a["number"]:
-            by_number.setdefault((a["kind"], a["number"]), a)
-    citing = [(i, _Sub("ref", s, [by_number[r] for r in refs if r in by_number])) for i, s in enumerate(sentences) if (refs := cited(s))]
-    taken = {a["asset_id"] for _, sub in citing for a in sub.assets}
-    free = [a for a in assets if a["asset_id"] not in taken]
-    if not citing:
-        subs = [_Sub("gap", "", free)] if free else []
-    else:
-        subs, ends = [], [None, *citing, None]
-        for before, after in zip(ends, ends[1:]):
-            between = "".join(sentences[before[0] + 1 if before else 0 : after[0] if after else None]).strip()
-            low, high = before[1].bottom() if before else _FIRST, after[1].top() if after else _LAST
-            inside = [a for a in free if low < _place(a) < high]
-            if inside and between:
-                subs.append(_Sub("gap", between, inside))
-            for a in inside if not between else []:
-                sides = [s[1] for s in (before, after) if s]
-                one = sides[0] if len(sides) == 1 or _apart(_place(a), sides[0].bottom()) <= _apart(_place(a), sides[1].top()) else sides[1]
-                one.add(a)
-            gone = {a["asset_id"] for a in inside}
-            free = [a for a in free if a["asset_id"] not in gone]
-            if after:
-                subs.append(after[1])
-        for a in free:
-            min((s for _, s in citing), key=lambda s: _apart(_place(a), s.bottom())).add(a)
-    return [{"sub_index": i, "kind": s.kind, "text": s.text, "index_text": s.index_text, "asset_ids": [a["asset_id"] for a in s.assets]} for i, s in enumerate(subs)]
+    numbers = {(a["kind"], a["number"]): j for j, a in reversed(list(enumerate(assets))) if a["number"]}
+    cites = {i: found for i, s in enumerate(sentences) if (found := cited(s))}
+    edges = [-1, *cites, len(sentences)]
+    texts = ["".join(sentences[a + 1 : b]).strip() for a, b in zip(edges, edges[1:])] if cites else [""]
+    links = [[numbers[c] for c in found if c in numbers] for found in cites.values()]
+    members = placed_assets(links, [t != "" for t in texts], [(a["page"], a["y"]) for a in assets])
+    out = []
+    for e, held in enumerate(members):
+        if e % 2 == 0 and not held:
+            continue
+        body = sentences[list(cites)[e // 2]] if e % 2 else texts[e // 2]
+        captions = [c for j in held if (c := (assets[j].get("caption") or "").strip())]
+        out.append({"sub_index": len(out), "kind": "ref" if e % 2 else "gap", "text": body, "index_text": _indexed(body, captions), "asset_ids": [assets[j]["asset_id"] for j in held]})
+    return out
 
 
 @F.pandas_udf(SUB)

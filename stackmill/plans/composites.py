@@ -59,8 +59,7 @@ def b29_chunk_assembly(spark, sf_dir):
 
 def b31_languages(spark, sf_dir):
     docs = views.table(spark, sf_dir, "documents")
-    profiles = language_profiles(docs.filter("doc_id % 2 = 0"))
-    found = detect_language(docs.filter("doc_id % 2 = 1"), profiles).join(docs.select("doc_id", "lang"), "doc_id")
+    found = detect_language(docs, language_profiles(docs)).join(docs.select("doc_id", "lang"), "doc_id")
     return found.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("lang") == F.col("detected")).alias("right"))
 
 
@@ -94,8 +93,8 @@ def x2_relaxed_batch(spark, sf_dir):
     c = S._chunks(spark, sf_dir)
     q = views.queries(spark, sf_dir)
     f = S.ChunkFilter(asset_types=("table",), page_gte=2)
-    both = S.relaxed(S.top_k(S.bm25(c.filter(f.condition()), q.filter("query_id % 3 <> 0")), S.FINAL_K), S.top_k(S.bm25(c, q), S.FINAL_K))
-    batch = both.select(views.int_div(F.col("query_id"), 3).alias("run"), (F.col("query_id") % 3).alias("branch"), "rank", "chunk_id", F.round("score", 6).alias("score"), "relaxed")
+    both = S.relaxed(S.top_k(S.bm25(c.filter(f.condition()), q), S.FINAL_K), S.top_k(S.bm25(c, q), S.FINAL_K))
+    batch = both.select(views.int_div(F.col("query_id"), 150).alias("run"), (views.int_div(F.col("query_id"), 50) % 3).alias("branch"), "rank", "chunk_id", F.round("score", 6).alias("score"), "relaxed")
     marked = S.annotate_duplicates(batch)
     return marked.groupBy("run").agg(F.count("*").alias("raw"), F.count_if(F.col("dup_of").isNull()).alias("unique_hits"), F.count_if(F.col("relaxed")).alias("relaxed"), F.max("score").alias("best"))
 
@@ -105,7 +104,7 @@ def x4_layout_to_chunks(spark, sf_dir):
     blocks = views.blocks(spark, sf_dir)
     kept = B.content_blocks(blocks, B.repeated_margin_texts(blocks, views.page_counts(spark, sf_dir)))
     seg = B.segments(kept.withColumn("ord", F.col("block_no")).withColumn("section", F.concat(F.lit("s"), views.int_div(F.col("block_no"), 6).cast("string"))))
-    return S.chunk(seg.select((F.col("doc_id") * 10000 + F.col("page") * 10 + F.col("segment")).alias("doc_id"), "text")).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
+    return S.chunk(seg.select((F.col("doc_id") * 268435456 + F.col("page") * 64 + F.col("segment")).alias("doc_id"), "text")).select("doc_id", "chunk_index", F.md5("text").alias("text_md5"))
 
 
 def x6_answer_alignment(spark, sf_dir):
@@ -122,20 +121,20 @@ _cut = lambda source: {**{"c0": S._CHUNK_CTES["c0"].replace("FROM documents", f"
 _LINES = r"list_filter(string_split(text, chr(10)), lambda x: trim(x, E' \t\n\r\x0b\x0c') <> '')"
 
 ORACLES = {
-    "b31_languages": f"""WITH w AS (SELECT doc_id, lang, unnest({S._TERMS.format('text')}) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w WHERE doc_id % 2 = 0 GROUP BY ALL),
+    "b31_languages": f"""WITH w AS (SELECT doc_id, lang, unnest({S._TERMS.format('text')}) AS word FROM documents), c AS (SELECT lang, word, count(*) AS n FROM w GROUP BY ALL),
       p AS (SELECT lang, word, round(ln(1 + 1000 * s), 6) AS weight FROM (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS s FROM c) QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) <= 200),
-      s AS (SELECT doc_id, p.lang, round(sum(n * weight), 4) AS score FROM (SELECT doc_id, word, count(*) AS n FROM w WHERE doc_id % 2 = 1 GROUP BY ALL) JOIN p USING (word) GROUP BY ALL),
+      s AS (SELECT doc_id, p.lang, round(sum(n * weight), 4) AS score FROM (SELECT doc_id, word, count(*) AS n FROM w GROUP BY ALL) JOIN p USING (word) GROUP BY ALL),
       b AS (SELECT doc_id, lang AS detected FROM s QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang DESC) = 1)
-      SELECT lang, count(*) AS n, count(*) FILTER (lang = coalesce(detected, 'zh')) AS "right" FROM documents LEFT JOIN b USING (doc_id) WHERE doc_id % 2 = 1 GROUP BY lang""",
+      SELECT lang, count(*) AS n, count(*) FILTER (lang = coalesce(detected, 'zh')) AS "right" FROM documents LEFT JOIN b USING (doc_id) GROUP BY lang""",
     "e16_compaction": f"""SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 OR doc_id % 3 = 1 THEN text WHEN doc_id % 3 = 0 THEN CASE WHEN len(l) <= 5 THEN text ELSE '（历史步压缩 · list_outline · 共 ' || len(l) || ' 行）' || chr(10) || array_to_string(l[1:5], chr(10)) || chr(10) || '… 省略 ' || (len(l) - 5) || ' 行；需章节页码请 lookup_toc。' END
       WHEN length(text) <= 200 THEN text ELSE substr(text, 1, 200) || '…（已截断）' END) AS text_md5 FROM (SELECT doc_id, text, {_LINES} AS l FROM documents)""",
     "h06_retrieve_once": S._sql(_RERANKED.replace("{0}", "hh"), more={"pc": "SELECT * FROM ch WHERE page <= 3", "hh": S._TOPK.format("SELECT * FROM " + S._bm25_sql("pc", "v_queries", "text"), 10)}),
     "j03_turn_append": "SELECT conv_id, count(*) + 2 AS n, max(turn) + 2 AS last_turn FROM conversations GROUP BY conv_id",
-    "x2_relaxed_batch": S._sql("SELECT run, count(*) AS raw, count(DISTINCT chunk_id) AS unique_hits, count(*) FILTER (relaxed) AS relaxed, max(round(score, 6)) AS best FROM (SELECT (query_id // 3)::INT AS run, chunk_id, score, false AS relaxed FROM st UNION ALL SELECT (query_id // 3)::INT, chunk_id, score, true FROM br WHERE query_id NOT IN (SELECT query_id FROM st)) GROUP BY run", more={
-        "nc": "SELECT * FROM ch WHERE list_contains(asset_types, 'table') AND page >= 2", "ev": "SELECT * FROM v_queries WHERE query_id % 3 <> 0", "st": S._TOPK.format("SELECT * FROM " + S._bm25_sql("nc", "ev", "text"), 3), "br": S._TOPK.format("SELECT * FROM " + S._bm25_sql("ch", "v_queries", "text"), 3)}),
+    "x2_relaxed_batch": S._sql("SELECT run, count(*) AS raw, count(DISTINCT chunk_id) AS unique_hits, count(*) FILTER (relaxed) AS relaxed, max(round(score, 6)) AS best FROM (SELECT (query_id // 150)::INT AS run, chunk_id, score, false AS relaxed FROM st UNION ALL SELECT (query_id // 150)::INT, chunk_id, score, true FROM br WHERE query_id NOT IN (SELECT query_id FROM st)) GROUP BY run", more={
+        "nc": "SELECT * FROM ch WHERE list_contains(asset_types, 'table') AND page >= 2", "ev": "SELECT * FROM v_queries", "st": S._TOPK.format("SELECT * FROM " + S._bm25_sql("nc", "ev", "text"), 3), "br": S._TOPK.format("SELECT * FROM " + S._bm25_sql("ch", "v_queries", "text"), 3)}),
     "x4_layout_to_chunks": with_views("v_blocks", more={"r": B._REPEATED, "k": f"SELECT *, {B._NORM} AS norm_text FROM v_blocks",
         "kb": f"SELECT * FROM k WHERE norm_text <> '' AND NOT {B._MARGIN} AND NOT regexp_matches(norm_text, '{B._PN}') AND NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = k.doc_id AND r.norm_text = k.norm_text)",
-        "sg": "SELECT doc_id * 10000 + page * 10 + dense_rank() OVER (PARTITION BY doc_id, page ORDER BY block_no // 6) AS doc_id, block_no, text FROM kb", "sx": "SELECT doc_id, string_agg(text, chr(10) ORDER BY block_no) AS text FROM sg GROUP BY doc_id", **_cut("sx")},
+        "sg": "SELECT doc_id * 268435456 + page * 64 + dense_rank() OVER (PARTITION BY doc_id, page ORDER BY block_no // 6) AS doc_id, block_no, text FROM kb", "sx": "SELECT doc_id, string_agg(text, chr(10) ORDER BY block_no) AS text FROM sg GROUP BY doc_id", **_cut("sx")},
         body="SELECT doc_id, chunk_index, md5(text) AS text_md5 FROM c3"),
     "x6_answer_alignment": f"WITH al AS ({D.ORACLES['d11_align']}), sk AS ({D.ORACLES['d13_skip_table_embed']}), rn AS ({D.ORACLES['d10_renumber']}) SELECT answer_id, n, first_sentence, used FROM (SELECT answer_id, count(*) AS n, min(sentence_index) AS first_sentence FROM al JOIN sk USING (answer_id, sentence_index) WHERE ref % 2 = 1 OR NOT skip GROUP BY answer_id) JOIN rn USING (answer_id)",
 }

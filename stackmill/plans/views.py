@@ -66,7 +66,7 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = int_div(F.col("block_no"), 3)
     number = F.when(n % 4 != 3, F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("-"), (n + 1).cast("string")))
     return b.select(
-        "doc_id", (F.col("doc_id") * 100000 + F.col("block_no")).alias("asset_id"),
+        "doc_id", (F.col("doc_id") * 16777216 + F.col("block_no")).alias("asset_id"),
         F.when(n % 2 == 0, "figure").otherwise("table").alias("kind"), number.alias("figure_number"), "page",
         F.lit(100.0).alias("x0"), (F.col("y0") + 60.0).alias("y0"), F.lit(400.0).alias("x1"), (F.col("y0") + 140.0).alias("y1"),
         (F.col("y0") + 60.0).alias("sort_key"), F.substring("text", 1, 40).alias("summary"),
@@ -97,8 +97,8 @@ def caption_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search requests: query_id and the first six words of every benchmark item."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring_index("text", " ", 6).alias("query"))
+    """Search requests: the whole text of every benchmark item, under the id of a vector request (every 50th vector)."""
+    return table(spark, sf_dir, "benchmark").select((F.col("item_id") * 50).alias("query_id"), F.col("text").alias("query"))
 
 
 _LINES = "SELECT doc_id, source, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS block_no FROM documents"
@@ -110,7 +110,7 @@ SQL = {
       UNION ALL SELECT doc_id, -1, p::INT, 50.0, 10.0, 550.0, 40.0, source FROM (SELECT doc_id, source, unnest(range(1, page_count + 1)) AS p FROM v_pages)
       UNION ALL SELECT doc_id, -2, p::INT, 50.0, 760.0, 550.0, 780.0, 'Page ' || p FROM (SELECT doc_id, unnest(range(1, page_count + 1)) AS p FROM v_pages)""",
     "v_toc": "SELECT doc_id, block_no // 3 AS ord, (block_no // 3) % 3 + 1 AS level, array_to_string(string_split(text, ' ')[1:3], ' ') AS title, page, y0 AS y FROM v_body WHERE block_no % 3 = 0",
-    "v_assets": """SELECT doc_id, doc_id * 100000 + block_no AS asset_id, CASE WHEN (block_no // 3) % 2 = 0 THEN 'figure' ELSE 'table' END AS kind,
+    "v_assets": """SELECT doc_id, doc_id * 16777216 + block_no AS asset_id, CASE WHEN (block_no // 3) % 2 = 0 THEN 'figure' ELSE 'table' END AS kind,
       CASE WHEN (block_no // 3) % 4 <> 3 THEN (doc_id % 9 + 1) || '-' || (block_no // 3 + 1) END AS figure_number, page,
       100.0::DOUBLE AS x0, y0 + 60 AS y0, 400.0::DOUBLE AS x1, y0 + 140 AS y1, y0 + 60 AS sort_key, substr(text, 1, 40) AS summary FROM v_body WHERE block_no % 3 = 1""",
     "v_refs": """SELECT doc_id, block_no AS chunk_index, page, y0, y1, CASE WHEN block_no % 2 = 0 THEN text || ' ' ||
@@ -118,7 +118,7 @@ SQL = {
       || (doc_id % 9 + 1) || '-' || (block_no // 3 + 1) || '.' ELSE text END AS text FROM v_body""",
     "v_captions": """SELECT doc_id, ord, page, 100.0::DOUBLE AS x0, y + 150 AS y0, 400.0::DOUBLE AS x1, y + 160 AS y1,
       (['Figure', 'Table', 'Fig.', '图', '表', 'figure', 'Note'])[ord % 7 + 1] || ' 0' || (doc_id % 9 + 1) || (CASE WHEN ord % 2 = 0 THEN '-' ELSE ' – ' END) || (ord + 1) || ' ' || title AS text FROM v_toc""",
-    "v_queries": "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark",
+    "v_queries": "SELECT item_id * 50 AS query_id, text AS query FROM benchmark",
 }
 _NEEDS = {"v_body": ("v_lines",), "v_blocks": ("v_body", "v_pages"), "v_toc": ("v_body",), "v_assets": ("v_body",), "v_refs": ("v_body",), "v_captions": ("v_toc",)}
 

@@ -100,10 +100,10 @@ def test_cross_page_tables(spark):
 
 def test_chunks_overlap_and_break_in_the_second_half():
     text = "a" * 300 + "\n" + "b" * 300 + ". " + "c" * 700
-    parts = T.split_offsets(text)
+    parts = T.chunk_texts(text)
     assert parts[0] == {"offset": 0, "text": "a" * 300} and parts[1]["offset"] == 301 - 80
     assert all(len(p["text"]) <= 500 for p in parts) and parts[-1]["text"].endswith("c")
-    assert T.split_offsets(" \n\n\n\n ") == [] and T.split_offsets("x\n\n\n\ny") == [{"offset": 0, "text": "x\n\ny"}]
+    assert T.chunk_texts(" \n\n\n\n ") == [] and T.chunk_texts("x\n\n\n\ny") == [{"offset": 0, "text": "x\n\ny"}]
 
 
 def test_decoding_and_html(spark):
