@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackmill.functions import text as T
-from stackmill.operators import structure
+from stackmill.operators import requests, structure
 from stackmill.plans import views
 from stackmill.plans.views import with_views
 
@@ -372,8 +372,7 @@ def h16_token_budget(spark, sf_dir):
 
 
 def _toc_requests(spark, sf_dir):
-    q = views.queries(spark, sf_dir)
-    return q.select("query_id", F.when(F.col("query_id") % 3 == 0, F.col("query_id") % 4 + 1).alias("chapter"), F.when(F.col("query_id") % 3 == 2, F.array().cast("array<string>")).otherwise(F.array(F.substring_index("query", " ", 1), F.lit("the"))).alias("terms"))
+    return requests.toc_requests(requests.questions(spark, sf_dir))
 
 
 def h18_toc_scores(spark, sf_dir):
@@ -470,8 +469,7 @@ _BATCH = "SELECT (query_id // 150)::INT AS run, ((query_id // 50) % 3)::INT AS b
 _CONTEXT = """SELECT query_id, count(*) AS n_chunks, md5(string_agg(name || ' p.' || page || coalesce(' §' || section, '') || CASE WHEN len(asset_types) > 0 THEN ' assets=' || array_to_string(asset_types, ',') || ' (visual)' ELSE '' END || chr(10) || text,
   chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM {0} JOIN ch USING (chunk_id) GROUP BY query_id"""
 _ENTRIES = {"e": structure._INTERVALS, "q": structure._PATHS, "x": "SELECT e.*, q.path FROM e JOIN q USING (doc_id, ord)"}
-_TOC = {**_ENTRIES,
-    "rq": "SELECT query_id, CASE WHEN query_id % 3 = 0 THEN query_id % 4 + 1 END AS chapter, CASE WHEN query_id % 3 = 2 THEN []::VARCHAR[] ELSE [string_split(query, ' ')[1], 'the'] END AS terms FROM v_queries",
+_TOC = {**_ENTRIES, **requests.TOC_REQUESTS,
     "n": "SELECT *, CASE WHEN level = 1 THEN sum((level = 1)::INT) OVER (PARTITION BY doc_id ORDER BY ord) END AS nth FROM x",
     "c": "SELECT query_id, doc_id, title AS ct, path AS cp FROM n, rq WHERE nth = chapter",
     "sc": """SELECT query_id, doc_id, ord, path, CASE WHEN coalesce(title = ct OR path = cp, false) THEN 100.0 WHEN chapter IS NULL AND len(terms) = 0 THEN CASE WHEN level = 1 THEN 1.0 ELSE 0.2 / level END

@@ -26,8 +26,13 @@ CHARSETS = ("utf-8", "utf-8-sig", "gb18030", "gbk", "latin-1")
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share; a temporary one only where none is configured."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stackmill-")
+    """A fresh path in the folder that driver and executors share. Where none is configured, a temporary one in local mode
+    (tests), an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="stackmill-")
     return f"{base}/stackmill/{uuid.uuid4().hex}"
 
 

@@ -176,3 +176,59 @@ def test_entry_without_the_optional_parts(monkeypatch):
     find = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name in ("stackmill.llm", "corpus_pipeline") else find(name, *a))
     assert not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"] and entry.oracle_sql()
+
+
+def test_contents_questions(spark):
+    from stackmill.operators.requests import toc_requests
+
+    asked = ["第三章从第几页开始？", "第十二章", "第二十章 目录", "第0章", "关于安装章节在哪一页", 'What page does "Safety Notes" start on? "safety notes"', "  ", None]
+    rows = toc_requests(spark.createDataFrame(list(enumerate(asked)), "query_id long, question string")).orderBy("query_id").collect()
+    assert [r["chapter"] for r in rows] == [3, 12, 20, None, None, None, None, None]
+    assert [rows[k]["terms"] for k in (0, 1, 2, 6, 7)] == [["第三章"], ["第十二章"], ["第二十章"], [], []]
+    assert rows[4]["terms"][0] == "安装" and rows[5]["terms"][0] == "Safety Notes"
+    assert sum(t.lower() == "safety notes" for t in rows[5]["terms"]) == 1
+
+
+def test_filters_merged_and_checked(spark):
+    from stackmill.operators.requests import filter_reasons, merged_filters
+
+    kind = "struct<document_ids:array<bigint>,asset_types:array<string>,page_gte:int,page_lte:int,section_prefix:string,section_contains:string>"
+    rows = [
+        (0, (None, ["table"], 2, 5, None, None), ([9], ["figure"], 1, None, "Part", None), [1, 2]),
+        (1, ([2, 7], ["page"], None, None, None, None), None, [1, 2]),
+        (2, ([7], None, 6, 5, None, None), None, [1]),
+        (3, ([7], None, None, None, None, None), None, [1]),
+        (4, (None, None, 0, None, None, None), None, []),
+        (5, None, None, None),
+        (6, None, None, [3]),
+    ]
+    df = spark.createDataFrame(rows, f"id long, explicit {kind}, inferred {kind}, scope array<bigint>")
+    assert [r["reason"] for r in filter_reasons(df).orderBy("id").collect()] == [None, "asset_types", "page_order", "scope", "page", None, None]
+    m = merged_filters(df).orderBy("id").collect()
+    assert [r["document_ids"] for r in m] == [[], [2], [], [], None, None, [3]]
+    assert (m[0]["asset_types"], m[0]["page_gte"], m[0]["page_lte"], m[0]["section_prefix"]) == (["table"], 2, 5, "Part")
+
+
+def test_ingest_replaces(spark, tmp_path):
+    from stackmill.streaming import jobs
+
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, version int").coalesce(1).write.mode("append").parquet(source)
+    run = lambda: {r["doc_id"]: r["text"] for r in jobs.ingest(spark.readStream.schema("doc_id long, text string, version int").parquet(source), path, "version").collect()}
+    put([(1, "a long first text", 1), (1, "short", 2), (2, "two", 1), (3, "three", 1)])
+    assert run() == {1: "short", 2: "two", 3: "three"}
+    put([(1, "again", 3), (2, "", 2), (4, None, 1)])
+    assert run() == {1: "again", 3: "three"}
+
+
+def test_rate_limit_stream_as_batch(spark, tmp_path):
+    from stackmill.streaming import jobs
+
+    source = str(tmp_path / "in")
+    rows = [(k % 3, k, float(k * (5 + k % 3))) for k in range(300)]
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame(part, "client long, id long, at double").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("client long, id long, at double").option("maxFilesPerTrigger", 1).parquet(source)
+    got = {r["id"]: r["admitted"] for r in jobs.drain(jobs.rate_limit_stream(stream), str(tmp_path / "out")).collect()}
+    want = {r["id"]: r["admitted"] for r in jobs.rate_limit(spark.createDataFrame(rows, "client long, id long, at double")).collect()}
+    assert got == want and 0 < sum(want.values()) < 300
