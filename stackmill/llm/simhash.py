@@ -36,6 +36,8 @@ KEYS = 66
 #: Keyed rows of a task.
 ROWS_PER_TASK = 2_000_000
 _CHUNK = 1 << 16
+#: Ids to leave out that are broadcast (8 bytes each), so that texts stay where they are; more are joined by a shuffle.
+GONE_ROWS = 1_000_000
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> list[int]:
@@ -72,12 +74,18 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", *names)))
 
 
-def ball_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (n, 66) and the bit flipped in each column (-1: none) for unsigned fingerprints."""
-    flips = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(32, dtype=np.uint64)])
-    low, high = fps & np.uint64(0xFFFFFFFF), fps >> np.uint64(32)
-    keys = np.concatenate([low[:, None] ^ flips, (high[:, None] ^ flips) | np.uint64(1 << 32)], axis=1)
-    return keys.astype(np.int64), np.tile(np.arange(-1, 32, dtype=np.int8), 2)
+def ball_keys(fps: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and flipped bit (-1: none) of place 0 to 65 of unsigned fingerprints: 33 for each segment, as KEY has them."""
+    flips = (places % 33).astype(np.int8) - np.int8(1)
+    flipped = np.where(flips >= 0, np.uint64(1) << np.maximum(flips, 0).astype(np.uint64), np.uint64(0))
+    upper = places >= 33
+    segment = np.where(upper, (fps >> np.uint64(32)) | np.uint64(1 << 32), fps & np.uint64(0xFFFFFFFF))
+    return (segment ^ flipped).astype(np.int64), flips
+
+
+#: The key of a fingerprint's place in SQL. Rows are dealt by it and do not carry it.
+KEY = """(CASE WHEN place < 33 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) | 4294967296L END)
+    ^ (CASE WHEN place % 33 = 0 THEN 0L ELSE shiftleft(1L, place % 33 - 1) END)"""
 
 
 def spanning_links(fps: np.ndarray, flips: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
@@ -122,22 +130,15 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """fp, rep (one row for each distinct fingerprint) -> a, b: links between reps."""
     spark = nodes.sparkSession
 
-    def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                fp, rep = (batch.column(k).slice(at, 4096).to_numpy() for k in (0, 1))
-                keys, flips = ball_keys(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.ravel()), pa.array(np.tile(flips, len(fp))), pa.array(np.repeat(fp, KEYS)), pa.array(np.repeat(rep, KEYS))], ["key", "flip", "fp", "rep"]
-                )
-
     def linked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
-        key, flip, fp, rep = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(4))
+        fp, rep, place = (np.concatenate([p.column(k).to_numpy() for p in parts]) for k in range(3))
+        fp = fp.view(np.uint64)
+        key, flip = ball_keys(fp, place)
         order = np.argsort(key, kind="stable")
-        key, flip, fp, rep = key[order], flip[order], fp[order].view(np.uint64), rep[order]
+        key, flip, fp, rep = key[order], flip[order], fp[order], rep[order]
         first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         size = np.diff(np.r_[first, len(key)])
         low, high = np.minimum.reduceat(flip, first), np.maximum.reduceat(flip, first)
@@ -155,9 +156,9 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         a, b = merged(a, b)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    keys = nodes.select("fp", "rep").mapInArrow(keyed, "key long, flip byte, fp long, rep long")
+    places = F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1)).cast("array<tinyint>")).alias("place")
     n = partitions_for(spark, KEYS * nodes.count(), ROWS_PER_TASK)
-    return keys.repartition(n, "key").mapInArrow(linked, "a long, b long")
+    return nodes.select("fp", "rep", places).repartition(n, F.expr(KEY)).mapInArrow(linked, "a long, b long")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seeds: Sequence[int] = (SEED,)) -> DataFrame:
@@ -186,6 +187,9 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, seeds: Sequence[int] = (
     are one document: one of them stays, the same one in every run. Rows with a null id belong to no group and stay."""
     groups = stash(near_groups(docs, shingle=shingle, seeds=seeds).select("doc_id", "component_id"), "near-groups")
     gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = stash(gone, "near-gone")
+    if gone.limit(GONE_ROWS + 1).count() <= GONE_ROWS:
+        gone = F.broadcast(gone)
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = stash(groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"), "repeated-ids")
     if repeated.isEmpty():
