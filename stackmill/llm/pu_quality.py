@@ -6,9 +6,8 @@ lengths, ...). ``fit_nnpu`` minimises the non-negative unbiased risk
     pi * R+(positives, +1) + max(0, R(unlabelled, -1) - pi * R(positives, -1))
 
 with the logistic loss over a thermometer coding of the features; positives are trusted documents, the unlabelled set is
-web text with no label, and pi is the class prior. The prior is the share of trusted documents among the labelled rows of
-the training fold; where those hold no second class it is taken from the score of a positive-against-unlabelled model,
-whose mean over positives bounds the labelling rate. The fit sees at most FIT_ROWS positives and FIT_ROWS unlabelled rows
+web text with no label, and pi is the class prior. Negative labels are never read: the prior is
+estimated from positives and unlabelled rows (``estimate_prior``). The fit sees at most FIT_ROWS positives and FIT_ROWS unlabelled rows
 (a documented bound, chosen by hash); features and scores cover all rows.
 
 Defined cases: null and empty texts have all-zero features and are scored like any other; without positives every score
@@ -131,11 +130,20 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
 
 
 def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
-    """From positives and unlabelled rows alone: a plain model of positive against unlabelled gives c = P(labelled | positive)
-    as its mean over positives, and so the prior as (odds of the unlabelled rows) scaled by c."""
-    model = fit_nnpu(positive, unlabelled, 0.5)
-    c = float(model.score(positive).mean())
-    return float(np.clip(model.score(unlabelled).mean() / max(c, 1e-6), 0.05, 0.99))
+    """Share of positives among the unlabelled rows, from positives and unlabelled rows alone. One half of the rows fits a
+    plain model of positive against unlabelled, the other half is scored: above any threshold stand at least prior times
+    the share of positives that stand there, so the least ratio of the two shares bounds the prior, and meets it where
+    hardly a negative is left. The threshold is where that ratio with its sampling error (Hoeffding, 0.9) is least."""
+    model = fit_nnpu(positive[::2], unlabelled[::2], 0.5)
+    p, u = model.score(positive[1::2]), model.score(unlabelled[1::2])
+    if not len(p) or not len(u):
+        return 0.5
+    at = np.unique(p)
+    above = lambda s: 1 - np.searchsorted(np.sort(s), at, side="left") / len(s)
+    share_p, share_u = above(p), above(u)
+    slack = np.sqrt(np.log(40) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((share_u + slack) / share_p))
+    return float(np.clip(share_u[best] / share_p[best], 0.05, 0.99))
 
 
 def _matrix(docs: DataFrame, ids: DataFrame, most: int) -> np.ndarray:
@@ -148,16 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, trained: "F.Column", fit_rows: int =
     """trained: condition on doc_id for rows whose labels may be read. None without positives. Only the sampled texts are
     turned into features."""
     known = labels.filter(trained & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    counts = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
-    if not counts.get(1):
+    if known.filter("quality = 1").isEmpty():
         return None
     positive = _matrix(docs, hashed_sample(known.filter("quality = 1"), "doc_id", fit_rows), 2 * fit_rows)
     unlabelled = _matrix(docs, hashed_sample(docs.select("doc_id").filter(trained), "doc_id", fit_rows), 2 * fit_rows)
     if not len(positive) or not len(unlabelled):
         return None
-    total = sum(counts.values())
-    prior = counts[1] / total if counts[1] < total else estimate_prior(positive, unlabelled)
-    return fit_nnpu(positive, unlabelled, min(max(prior, 0.01), 0.99))
+    return fit_nnpu(positive, unlabelled, estimate_prior(positive, unlabelled))
 
 
 def score(docs: DataFrame, model: PUModel | None, name: str = "score") -> DataFrame:
