@@ -6,7 +6,10 @@ plan holds CHUNK shingles): two lines agree at a point with the probability of t
 share a band meet its representative (the least line of the band's bucket); each pair is verified by the Jaccard
 similarity of the full shingle sets, and verified links are resolved by distributed connected components. Buckets whose
 lines are then still in different components are resolved wholly: in small ones every pair of different components is
-verified; the lines of large ones meet by exact prefix filtering, which loses no similar pair, and are verified too. Of a
+verified; the lines of large ones meet by exact prefix filtering, which loses no similar pair, and are verified too. Pairs
+of either kind are first held to a bound: a line's sketch has a bit for each of SKETCH slots, set if an odd number of its
+distinct shingles fall there, so two sketches differ in no more bits than the lines differ in shingles, and a pair whose
+sketches differ in more than the similarity allows is not similar. Of a
 component, the first line (least document id, then line number) is kept, and every other occurrence of its lines goes.
 
 With three rows in each of six bands, a pair at the threshold of 0.8 shares a band with probability 0.986, at 0.9 with
@@ -39,6 +42,9 @@ CHUNK = 8
 NODE_BITS = 64
 #: Pairs of an unresolved bucket that are verified as they are; lines of larger buckets go by their rare shingles.
 AT_ONCE = 1024
+#: Bits of a line's sketch, in words of 64.
+SKETCH = 1024
+_WORDS = [f"k{j}" for j in range(SKETCH // 64)]
 
 
 #: The blanks at the start of a line that has a word, and the first character of the word.
@@ -127,41 +133,64 @@ def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
     return open_.join(work, open_["key"] == work["_key"]).select("key", "a", "head", "c", "hc", "work")
 
 
-def _bucket_pairs(rest: DataFrame) -> DataFrame:
-    """x, y: every pair of different components in a bucket; one of the two is outside the head's component."""
-    l = rest.filter("c <> hc").select("key", F.col("a").alias("x"), F.col("c").alias("cx"))  # noqa: E741
-    r = rest.filter("a <> head").select("key", F.col("a").alias("y"), F.col("c").alias("cy"), "hc")
-    met = l.join(r, "key").filter("cx <> cy and (cy = hc or x > y)")
-    return met.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y"))
+def sketches(lines: DataFrame) -> DataFrame:
+    """a, n (distinct shingles) and the words of the sketch of every line (a, line; each once)."""
+    w = F.col("w")
+    slot, bit = F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(len(_WORDS) - 1)), F.expr("shiftleft(1L, int(w & 63L))")
+    words = [F.coalesce(F.bit_xor(F.when(slot == j, bit)), F.lit(0).cast("long")).alias(k) for j, k in enumerate(_WORDS)]
+    return lines.select("a", F.explode(_shingles(F.col("line"))).alias("w")).groupBy("a").agg(F.count("*").alias("n"), *words)
 
 
-def prefix_pairs(lines: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def _side(prefix: str, *names: str) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}_{k}") for k in ("a", "c", "n", *names, *_WORDS)]
+
+
+def _may_match(similarity: float) -> Column:
+    """Whether sides l and r may be similar: of n shingles in all, similar lines differ in n * (1 - s) / (1 + s) at most."""
+    differing = sum((F.bit_count(F.col(f"l_{k}").bitwiseXOR(F.col(f"r_{k}"))) for k in _WORDS[1:]), F.bit_count(F.col("l_k0").bitwiseXOR(F.col("r_k0"))))
+    return differing <= (F.col("l_n") + F.col("r_n")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+
+
+def _bucket_pairs(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """x, y: the pairs of different components in a bucket that may be similar; one of the two is outside the head's component."""
+    rest = rest.join(sketched, "a")
+    l = rest.filter("c <> hc").select("key", *_side("l"))  # noqa: E741
+    r = rest.filter("a <> head").select("key", *_side("r"), "hc")
+    met = l.join(r, "key").filter("l_c <> r_c and (r_c = hc or l_a > r_a)").filter(_may_match(similarity))
+    return met.select(F.greatest("l_a", "r_a").alias("x"), F.least("l_a", "r_a").alias("y"))
+
+
+def prefix_pairs(lines: DataFrame, nodes: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """x, y: a superset of the similar pairs of different components among nodes (a, c), by exact prefix filtering.
 
     A line's shingles are put in one order, rare ones first. The first common shingle of two similar lines then stands
     among the first of both, with enough shingles behind it for the overlap that the similarity asks for.
     """
-    texts = lines.select("a", "line").join(nodes, "a").groupBy("a", "c").agg(F.min("line").alias("line"))
-    sets = stash(texts.select("a", "c", _shingles(F.col("line")).alias("ws")), "line-sets")
+    sets = stash(lines.select("a", "line").join(nodes, "a").select("a", "c", _shingles(F.col("line")).alias("ws")), "line-sets")
     counts = sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
     ordered = sets.select("a", "c", F.explode("ws").alias("w")).join(counts, "w").groupBy("a", "c").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
     n = F.size("ws")
     least = lambda share: n - F.ceil(n * share - 1e-9).cast("int") + 1
     first = ordered.select("a", "c", n.alias("n"), least(2 * similarity / (1 + similarity)).alias("short"), F.posexplode(F.slice("ws", 1, least(similarity))).alias("at", "s"))
     first = stash(first.filter("s.f > 1").select("a", "c", "n", "short", "at", F.col("s.w").alias("w")), "line-prefixes")
-    l = first.filter("at < short").select("w", *[F.col(k).alias(f"l_{k}") for k in ("a", "c", "n", "at")])  # noqa: E741
-    r = first.select("w", *[F.col(k).alias(f"r_{k}") for k in ("a", "c", "n", "at")])
+    first = first.join(sketched.drop("n"), "a")
+    l = first.filter("at < short").select("w", *_side("l", "at"))  # noqa: E741
+    r = first.select("w", *_side("r", "at"))
     met = l.join(r, "w").filter("l_c <> r_c and (l_n < r_n or (l_n = r_n and l_a < r_a))")
     met = met.filter((F.col("l_n") >= F.col("r_n") * similarity - 1e-9) & (F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= (F.col("l_n") + F.col("r_n")) * (similarity / (1 + similarity)) - 1e-9))
+    met = met.filter(_may_match(similarity))
     return met.select(F.greatest("l_a", "r_a").alias("x"), F.least("l_a", "r_a").alias("y"))
 
 
 def remaining(rest: DataFrame, lines: DataFrame, similarity: float, at_once: int = AT_ONCE) -> DataFrame:
-    """x, y: what is left to verify in unresolved buckets; all pairs of small ones, prefix pairs of the lines of large ones."""
-    pairs = _bucket_pairs(rest.filter(F.col("work") <= at_once))
+    """x, y: what is left to verify in unresolved buckets; all pairs of small ones, prefix pairs of the lines of large ones,
+    in both without those that the sketches rule out. lines: a, line, each line once."""
+    open_ = rest.select(F.col("a").alias("_n")).distinct()
+    sketched = stash(sketches(lines.join(open_, lines["a"] == open_["_n"], "left_semi")), "line-sketches")
+    pairs = _bucket_pairs(rest.filter(F.col("work") <= at_once), sketched, similarity)
     large = stash(rest.filter(F.col("work") > at_once).select("a", "c").distinct(), "line-large")
     if not large.isEmpty():
-        pairs = pairs.unionByName(prefix_pairs(lines, large, similarity))
+        pairs = pairs.unionByName(prefix_pairs(lines, large, sketched, similarity))
     return pairs.distinct()
 
 
@@ -178,13 +207,16 @@ def jaccard(left: Column, right: Column) -> Column:
     return F.element_at(F.transform(F.array(pair), lambda p: common(p) / (F.size(p["l"]) + F.size(p["r"]) - common(p))), 1)
 
 
+def texts_of(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """a, line: the distinct lines that are members of some bucket."""
+    nodes = members.select(F.col("a").alias("_n")).distinct()
+    return lines.select("a", "line").join(nodes.hint("shuffle_hash"), lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
+
+
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """Pairs whose lines are similar enough; only the lines of some pair are fetched."""
-    nodes = pairs.select(F.col("x").alias("_n")).unionByName(pairs.select(F.col("y").alias("_n"))).distinct()
-    texts = lines.select("a", "line").join(nodes.hint("shuffle_hash"), lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
-    texts = stash(texts, "line-texts")
-    left = texts.select(F.col("a").alias("x"), F.col("line").alias("left"))
-    right = texts.select(F.col("a").alias("y"), F.col("line").alias("right"))
+    """Pairs whose lines are similar enough. lines: a, line, each line once."""
+    left = lines.select(F.col("a").alias("x"), F.col("line").alias("left"))
+    right = lines.select(F.col("a").alias("y"), F.col("line").alias("right"))
     both = pairs.join(left, "x").join(right, "y")
     return both.filter(jaccard(F.col("left"), F.col("right")) >= similarity).select("x", "y")
 
@@ -202,11 +234,13 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no of the lines that stay: one for every component."""
     lines, first = nodes(docs)
     members = stash(bucket_members(stash(band_keys(lines), "line-bands")), "line-members")
-    links = verified(stash(candidates(members), "line-pairs"), lines, similarity)
+    # fetched once for both rounds: every member meets its head in the first
+    texts = stash(texts_of(members, lines), "line-texts")
+    links = verified(stash(candidates(members), "line-pairs"), texts, similarity)
     components = stash(connected_components(links, "x", "y"), "line-components")
     rest = stash(unresolved(members, components), "line-rest")
     if not rest.isEmpty():
-        more = stash(verified(stash(remaining(rest, lines, similarity), "line-more-pairs"), lines, similarity), "line-more-links")
+        more = stash(verified(stash(remaining(rest, texts, similarity), "line-more-pairs"), texts, similarity), "line-more-links")
         if not more.isEmpty():
             stars = components.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
             components = stash(connected_components(stars.unionByName(more), "x", "y"), "line-all-components")
