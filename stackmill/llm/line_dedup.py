@@ -203,8 +203,10 @@ def _shingles(line: Column) -> Column:
 def jaccard(left: Column, right: Column) -> Column:
     """Of the full shingle sets of two lines."""
     pair = F.struct(_shingles(left).alias("l"), _shingles(right).alias("r"))
-    common = lambda p: F.size(F.array_intersect(p["l"], p["r"]))
-    return F.element_at(F.transform(F.array(pair), lambda p: common(p) / (F.size(p["l"]) + F.size(p["r"]) - common(p))), 1)
+    # bound once, like the encoded line, not intersected twice
+    common = lambda p: F.array(F.size(F.array_intersect(p["l"], p["r"])))
+    share = lambda p: F.element_at(F.transform(common(p), lambda n: n / (F.size(p["l"]) + F.size(p["r"]) - n)), 1)
+    return F.element_at(F.transform(F.array(pair), share), 1)
 
 
 def texts_of(members: DataFrame, lines: DataFrame) -> DataFrame:

@@ -144,3 +144,29 @@ def test_buckets_with_a_dissimilar_head(spark):
     by_prefix = {tuple(r) for r in L.verified(L.remaining(rest, L.lines_of(docs), 0.8), L.lines_of(docs), 0.8).collect()}
     by_bucket = {tuple(r) for r in L.verified(L.remaining(rest, L.lines_of(docs), 0.8, 1 << 50), L.lines_of(docs), 0.8).collect()}
     assert by_prefix == by_bucket and len(by_prefix) >= 120
+
+
+def test_sketches_rule_out_no_similar_pair(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8)))
+    pairs = []
+    for _ in range(300):
+        x = [word() for _ in range(40)]
+        y = list(x)
+        for _ in range(rng.randint(0, 6)):
+            y[rng.randrange(40)] = word()
+        pairs.append((" ".join(x), " ".join(y)))
+    pairs += [("a", "a"), ("a" * 12, "a" * 13), ("é" * 14, "é" * 20), ("x" * 30_000, "x" * 29_999 + "y"), ("short", "other")]
+    rows = [(i, x, y) for i, (x, y) in enumerate(pairs)]
+    df = spark.createDataFrame(rows, "a long, left string, right string")
+    sides = [L.sketches(df.select("a", df[c].alias("line"))).selectExpr("*", "0 AS c").select(*L._side(p)) for c, p in (("left", "l"), ("right", "r"))]
+    may = {r["l_a"]: r["may"] for r in sides[0].join(sides[1], sides[0]["l_a"] == sides[1]["r_a"]).select("l_a", L._may_match(0.8).alias("may")).collect()}
+    share = {r["a"]: r["share"] for r in df.select("a", L.jaccard(df["left"], df["right"]).alias("share")).collect()}
+    unlike = ruled_out = 0
+    for i, x, y in rows:
+        a, b = ({t[k : k + 12] for k in range(max(1, len(t) - 11))} for t in (x, y))
+        want = len(a & b) / len(a | b)
+        assert share[i] == want and (may[i] or want < 0.8)
+        unlike += want < 0.8
+        ruled_out += not may[i]
+    assert ruled_out >= 0.9 * unlike > 0
