@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules that register queries, by operator number.
-MODULES = ("substring_dedup", "pu_quality", "decontaminate", "quality_rules", "simhash", "token_output", "toxicity", "mixing", "line_dedup", "chat_format", "collocations", "conversation_trie")
+MODULES = ("substring_dedup", "pu_quality", "decontaminate", "quality_rules", "simhash", "token_output", "toxicity", "mixing", "line_dedup", "chat_format", "collocations", "jaccard_join", "conversation_trie")
 
 
 def queries() -> dict[str, Callable]:
