@@ -32,44 +32,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackmill.llm.common import stash, table
-from stackmill.llm.ngrams import chunks, mix, word_hashes
+from stackmill.llm.ngrams import chunks, mix, words_of_texts
 
 SUPPORT, LONGEST, SHARDS, COVER, TOP, SCALE = 10, 3, 4, 50, 2000, 1_000_000
 #: Bits of the filter for each candidate, and at most (32 MB).
 BITS_EACH, FILTER_BITS = 10, 1 << 28
-_BREAK = "\n"
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def words_by_language(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, pa.Array]]:
-    """Of batches (lang, text), chunk by chunk: a language, its tokens as numbers in the dictionary (-1 where a piece ends),
-    and hashes and words of the dictionary."""
+def words_by_language(batches: Iterable[pa.RecordBatch], seed: int) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Of batches (lang, text), chunk by chunk: a language, the piece of each word and its number in the dictionary, and hashes
+    and words of the dictionary."""
     for batch in chunks(batches, 1):
         for lang in pc.unique(batch.column(0)).to_pylist():
             texts = batch.column(1).filter(pc.equal(batch.column(0), lang))
-            marked = pc.replace_substring_regex(pc.ascii_lower(texts), r"[.,;:!?\n\x0B\x0C\r]+", f" {_BREAK} ")
-            # a break in front of each text, so that no phrase runs from one text into the next
-            marked = pc.binary_join_element_wise(pa.scalar(_BREAK), marked, " ")
-            _, tokens, hashes, words = word_hashes(marked, r"[ \t]+", seed)
-            no_word = np.array([w in ("", _BREAK) for w in words.to_pylist()], bool)
-            yield lang, np.where(no_word[tokens], -1, tokens), hashes, words
-
-
-def phrases(lang: str, tokens: np.ndarray, hashes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length from 2: the length, where its phrases start among the tokens, and a hash of language and words."""
-    valid = tokens >= 0
-    words = hashes[np.maximum(tokens, 0)]
+            yield lang, *words_of_texts(texts, b" \t", b".,;:!?\n\x0b\x0c\r", seed)[1:]
+
+
+def phrases(lang: str, pieces: np.ndarray, tokens: np.ndarray, hashes: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length from 2: the length, where its phrases start among the words, and a hash of language and words."""
+    words = hashes[tokens]
     h = mix(np.uint64(xxhash.xxh64_intdigest(lang)), words)
     for size in range(2, longest + 1):
         if len(tokens) < size:
             return
         n = len(tokens) - size + 1
-        valid = valid[:n] & (tokens[size - 1 :] >= 0)
         h = mix(h[:n], words[size - 1 :])
-        at = np.flatnonzero(valid)
+        at = np.flatnonzero(pieces[:n] == pieces[size - 1 :])
         yield size, at, h[at]
 
 
@@ -78,18 +70,17 @@ def vocabulary(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def counted(seed: int) -> Callable:
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for lang, tokens, hashes, words in words_by_language(batches, seed):
-                n = np.bincount(tokens[tokens >= 0], minlength=len(words))
-                used = np.flatnonzero(n)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(used), pa.string()), pa.array(hashes[used].view(np.int64)), words.take(pa.array(used)).cast(pa.string()), pa.array(n[used].astype(np.int64))], ["lang", "w", "word", "f"])
+            for lang, _, tokens, hashes, words in words_by_language(batches, seed):
+                n = np.bincount(tokens, minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(hashes.view(np.int64)), words.cast(pa.string()), pa.array(n.astype(np.int64))], ["lang", "w", "word", "f"])
 
         return run
 
     for seed in range(8):
         found = _texts(docs).mapInArrow(counted(seed), "lang string, w long, word string, f long")
-        found = stash(found.groupBy("lang", "w").agg(F.min("word").alias("word"), F.max("word").alias("_last"), F.sum("f").alias("f")), "phrase-words")
-        if found.filter("word <> _last").isEmpty():
-            return found.drop("_last"), seed
+        found = stash(found.groupBy("lang", "w", "word").agg(F.sum("f").alias("f")), "phrase-words")
+        if found.groupBy("lang", "w").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+            return found, seed
     raise RuntimeError("words clash under every seed")
 
 
@@ -98,8 +89,8 @@ def local_phrases(docs: DataFrame, seed: int, support: int = SUPPORT, longest: i
 
     def mined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId() % shards
-        for lang, tokens, hashes, _ in words_by_language(batches, seed):
-            for _, _, h in phrases(lang, tokens, hashes, longest):
+        for lang, pieces, tokens, hashes, _ in words_by_language(batches, seed):
+            for _, _, h in phrases(lang, pieces, tokens, hashes, longest):
                 h, n = np.unique(h, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), shard, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["shard", "h", "n"])
 
@@ -138,8 +129,8 @@ def phrase_counts(docs: DataFrame, candidates: DataFrame, seed: int, support: in
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = known.value
-        for lang, tokens, hashes, _ in words_by_language(batches, seed):
-            for size, at, h in phrases(lang, tokens, hashes, longest):
+        for lang, pieces, tokens, hashes, _ in words_by_language(batches, seed):
+            for size, at, h in phrases(lang, pieces, tokens, hashes, longest):
                 keep = _may_be(bits, h)
                 at = at[keep]
                 _, first, n = np.unique(h[keep], return_index=True, return_counts=True)

@@ -23,15 +23,37 @@ def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: pa.Array, separators: str, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """For texts without nulls, cut at runs that match separators: where each text's tokens begin (one more than texts), the
-    number of each token in the dictionary, the hash of each dictionary word, and the dictionary. Tokens may be empty."""
-    cut = pc.split_pattern_regex(texts, separators)
-    starts = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
-    coded = cut.flatten().dictionary_encode()
-    words = coded.dictionary
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.large_binary()).to_pylist()), np.uint64, len(words))
-    return starts, coded.indices.to_numpy(), hashes, words
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def words_of_texts(texts: pa.Array, spaces: bytes, breaks: bytes = b"", seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Words (runs of other bytes than spaces and breaks, A-Z lower-cased) of texts without nulls: where each text's words begin
+    (one more than texts), and for each word the piece it is in (a number that changes at breaks and between texts) and its
+    number in the dictionary; then the hash of each dictionary word, and the dictionary. Separators are ASCII."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    is_word = np.ones(256, bool)
+    is_word[list(spaces + breaks)] = False
+    word = is_word[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begin = offsets[:-1][offsets[:-1] < len(data)]
+    first[begin] = word[begin]
+    starts = np.flatnonzero(first)
+    within = np.searchsorted(starts, offsets)
+    compact = _LOWER[data[word]]
+    at = np.r_[np.cumsum(word, dtype=np.int32)[starts] - 1, len(compact)].astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(compact)]).dictionary_encode()
+    piece = np.repeat(np.arange(len(texts)), np.diff(within))
+    if breaks:
+        is_break = np.zeros(256, bool)
+        is_break[list(breaks)] = True
+        piece = piece + np.cumsum(is_break[data], dtype=np.int32)[starts]
+    hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return within, piece, coded.indices.to_numpy(), hashes, coded.dictionary
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: int, at_once: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
