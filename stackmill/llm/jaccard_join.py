@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 
 from stackmill.llm.common import stash, table
 from stackmill.llm.components import connected_components
-from stackmill.llm.ngrams import chunks, mix, word_hashes
+from stackmill.llm.ngrams import chunks, mix, words_of_texts
 
 SHINGLE, PERCENT = 3, 90
 #: Sizes of a class differ by this factor at most.
 GROWTH = 1.5
 #: Sets of a region that is joined whole; levels of pivots before the rest is joined by blocks.
-REGION, LEVELS = 512, 5
+REGION, LEVELS = 1024, 5
 #: Ids that are broadcast (8 bytes each) so that texts stay where they are; more are joined by a shuffle.
 KNOWN_IDS = 1_000_000
 _COLUMNS = 4096
@@ -49,16 +49,14 @@ _COLUMNS = 4096
 def shingle_sets(batches: Iterable[pa.RecordBatch], shingle: int) -> Iterator[tuple[int | None, np.ndarray]]:
     """Of batches (id, text): id and sorted distinct shingle hashes of each row."""
     for batch in chunks(batches, 1):
-        texts = pc.utf8_trim(pc.fill_null(pc.ascii_lower(batch.column(1)), ""), characters=" \t\n\x0b\x0c\r")
-        starts, tokens, hashes, _ = word_hashes(texts, r"[ \t-\r]+")
+        starts, _, tokens, hashes, _ = words_of_texts(pc.fill_null(batch.column(1), ""), b" \t\n\x0b\x0c\r")
         words = hashes[tokens]
         several = words
         for k in range(1, shingle):
             several = mix(several[: max(0, len(words) - k)], words[k:])
-        blank = pc.equal(texts, "").to_numpy(zero_copy_only=False)
         for k, name in enumerate(batch.column(0).to_pylist()):
             a, b = starts[k], starts[k + 1]
-            if blank[k]:
+            if a == b:
                 yield name, words[:0]
             elif b - a < shingle:
                 h = np.array([b - a], np.uint64)
@@ -167,21 +165,29 @@ def _similar(common: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
 
 
 def measured(regions: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """region, pivot, node, shell (by distance to the pivot), near (whether it is linked with it). sets: node, items."""
-    width = (100 - percent) / 100 + 1e-9
+    """region, pivot, node, d (distance to the pivot), near (whether it is linked with it). sets: node, items."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = [(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(3), batch.column(4))]
             common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in pairs], np.int64)
             sizes = np.array([len(x) + len(y) for x, y in pairs], np.int64)
-            shell = ((1 - common / np.maximum(sizes - common, 1)) / width).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(shell), pa.array(_similar(common, sizes, percent))], ["region", "pivot", "node", "shell", "near"])
+            d = 1 - common / np.maximum(sizes - common, 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(d), pa.array(_similar(common, sizes, percent))], ["region", "pivot", "node", "d", "near"])
 
     own = sets.select(F.col("node").alias("_n"), "items")
     at = sets.select(F.col("node").alias("_p"), F.col("items").alias("at"))
     joined = regions.join(own, F.col("node") == F.col("_n")).join(at, F.col("pivot") == F.col("_p"))
-    return joined.select("region", "pivot", "node", "items", "at").mapInArrow(run, "region long, pivot long, node long, shell int, near boolean")
+    return joined.select("region", "pivot", "node", "items", "at").mapInArrow(run, "region long, pivot long, node long, d double, near boolean")
+
+
+def replicated(at: DataFrame, percent: int) -> DataFrame:
+    """region, node: the shells, with those sets of the next inner shell that are within the limit of a shell's innermost set."""
+    width = (100 - percent) / 100 + 1e-9
+    own = at.select("region", F.floor(F.col("d") / width).alias("shell"), "node", "d")
+    inner = own.groupBy(F.col("region").alias("_r"), F.col("shell").alias("_s")).agg(F.min("d").alias("_d"))
+    met = own.select("region", F.explode(F.array("shell", F.col("shell") + 1)).alias("shell"), "node", "d").join(inner, (F.col("region") == F.col("_r")) & (F.col("shell") == F.col("_s")))
+    return met.filter(F.col("d") >= F.col("_d") - width).select(F.xxhash64("region", "shell").alias("region"), "node")
 
 
 def joined_whole(percent: int) -> Callable[[pa.Table], pa.Table]:
@@ -223,15 +229,14 @@ def _blocks(large: DataFrame, region: int) -> DataFrame:
 
 def near_links(members: DataFrame, sets: DataFrame, percent: int = PERCENT, region: int = REGION, levels: int = LEVELS) -> DataFrame:
     """a, b: links that connect what the similar pairs among members (pivot, node) connect. sets: node, items."""
-    regions, links, small = members.select(F.col("pivot").alias("region"), "pivot", "node"), None, []
+    regions, links, small, components = members.select(F.col("pivot").alias("region"), "pivot", "node"), None, [], None
     for level in range(levels):
         at = stash(measured(regions, sets, percent), "jaccard-shells")
         found = at.filter("near and node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
         links = found if links is None else links.unionByName(found)
-        components = stash(connected_components(links, "a", "b"), "jaccard-components")
-        shells = at.select(F.explode(F.array("shell", F.col("shell") + 1)).alias("_s"), "region", "node").select(F.xxhash64("region", "_s").alias("region"), F.col("node").alias("_m"))
-        shells = shells.join(components, F.col("_m") == F.col("node"), "left").select("region", F.col("_m").alias("node"), F.coalesce("component", "_m").alias("component"))
-        shells = stash(shells, "jaccard-regions")
+        if components is None:  # later levels only add links, and so may look at a region that these would close
+            components = stash(connected_components(links, "a", "b").withColumnRenamed("node", "_n"), "jaccard-components")
+        shells = stash(replicated(at, percent).join(components, F.col("node") == F.col("_n"), "left").select("region", "node", F.coalesce("component", "node").alias("component")), "jaccard-regions")
         open_ = shells.groupBy(F.col("region").alias("_r")).agg(F.count("*").alias("_n"), F.min("component").alias("_low"), F.max("component").alias("_high"), F.min(F.struct(F.xxhash64("node", F.lit(level)), "node")).alias("_p"))
         open_ = open_.filter("_low <> _high").select("_r", "_n", F.col("_p.node").alias("pivot"))
         left = stash(shells.join(open_, F.col("region") == F.col("_r")).select("region", "pivot", "node", "component", "_n"), "jaccard-open")
