@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackmill.functions import text as T
-from stackmill.operators import requests, structure
+from stackmill.operators import requests, structure, termindex
 from stackmill.plans import views
 from stackmill.plans.views import with_views
 
@@ -274,9 +274,23 @@ def _vector_hits(spark, sf_dir, k):
     return vector_top_k(_vectors(spark, sf_dir), _vector_requests(spark, sf_dir), k)
 
 
+#: Stored indexes of this process: by session and table, the state of the files and the index.
+_STORED: dict[tuple, tuple] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> termindex.TermIndex:
+    """A8. The index of the documents' chunks, written once and again only when files of the table have changed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    status = lambda p: hadoop(p).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(hadoop(p))
+    state = tuple((f, (s := status(f)).getLen(), s.getModificationTime()) for f in sorted(views.table(spark, sf_dir, "documents").inputFiles()))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if _STORED.get(key, (None,))[0] != state:
+        _STORED[key] = state, termindex.write(_chunks(spark, sf_dir), views.scratch(spark))
+    return _STORED[key][1]
+
+
 def _text_hits(spark, sf_dir, k):
-    c, q = _chunks(spark, sf_dir), views.queries(spark, sf_dir)
-    return best_fields({"text": bm25(c, q), "caption": bm25(c, q, "caption"), "name": keyword_field(c, q, "name")}, k)
+    return top_k(termindex.search(stored_index(spark, sf_dir), views.queries(spark, sf_dir), k, views.scratch(spark)), k)
 
 
 def _out(df: DataFrame) -> DataFrame:
@@ -454,7 +468,7 @@ def _bm25_sql(source: str, queries: str, field: str) -> str:
 
 _TOPK = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) - 1 AS rank FROM ({0})) WHERE rank < {1}"
 _TEXT_SCORES = f"""SELECT query_id, chunk_id, max(score) AS score FROM (SELECT query_id, chunk_id, 3.0 * score AS score FROM {_bm25_sql('ch', 'v_queries', 'text')} UNION ALL SELECT query_id, chunk_id, 2.0 * score FROM {_bm25_sql('ch', 'v_queries', 'caption')}
-  UNION ALL SELECT query_id, chunk_id, 1.0 FROM ch JOIN v_queries ON name = query) GROUP BY ALL"""
+  UNION ALL SELECT query_id, chunk_id, 2.0 FROM ch JOIN v_queries ON section = query UNION ALL SELECT query_id, chunk_id, 1.0 FROM ch JOIN v_queries ON name = query) GROUP BY ALL"""
 _VEC_SCORES = "SELECT q.vec_id AS query_id, e.vec_id * 16777216 AS chunk_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0"
 _HITS = {"th": _TOPK.format(_TEXT_SCORES, 10), "vh": _TOPK.format(_VEC_SCORES, 10)}
 

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import html
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +12,7 @@ from pyspark.sql import types as ty
 from stackmill.functions.text import WS, blank_to_null
 from stackmill.operators import search
 from stackmill.plans import views
-from stackmill.plans.views import with_views
+from stackmill.plans.views import scratch, with_views
 
 #: Types by extension, and the largest file.
 FORMATS = {
@@ -25,17 +23,6 @@ MAX_BYTES = 100 * 1024 * 1024
 CHARSETS = ("utf-8", "utf-8-sig", "gb18030", "gbk", "latin-1")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that driver and executors share. Where none is configured, a temporary one in local mode
-    (tests), an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="stackmill-")
-    return f"{base}/stackmill/{uuid.uuid4().hex}"
-
-
 def file_type(name: Column) -> Column:
     """A1. The content type of a file name's last extension; null for unknown ones."""
     known = F.create_map(*[F.lit(x) for kv in FORMATS.items() for x in kv])
