@@ -68,12 +68,16 @@ def strip_html(raw: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"\n{3,}", "\n\n"), F.lit(WS))
 
 
+def stored_at(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def replace_documents(spark: SparkSession, path: str, rows: DataFrame, buckets: int = 16) -> None:
     """A5. Put the rows of some documents in place of what path has of them. The table is partitioned by a bucket of doc_id;
     only the buckets that the documents fall into are rewritten."""
     new = rows.withColumn("bucket", F.pmod(F.col("doc_id"), F.lit(buckets)))
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    if stored_at(spark, path):
         touched = new.select("bucket").distinct()
         old = spark.read.parquet(path)
         rest = old.join(F.broadcast(touched), "bucket", "left_semi").join(new.select("doc_id").distinct(), "doc_id", "left_anti")
