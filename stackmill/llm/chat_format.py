@@ -111,7 +111,9 @@ def format_turns(turns: DataFrame, trained_roles: tuple[str, ...] = ("assistant"
             ).alias("t"),
         )
     )
-    grouped = rendered.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    # equal turns and roles come in order of the text, not of its escaped form
+    ordered = lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), unescape(t["body"]).alias("raw"), *[t[c].alias(c) for c in ("body", "head", "attachments", "tokens")])
+    grouped = rendered.groupBy("conv_id").agg(F.sort_array(F.transform(F.collect_list("t"), ordered)).alias("ts"))
     piece = lambda t: F.concat(t["head"], t["body"], F.lit(END + "\n"))
     # one pass over the turns: (characters so far, spans of the loss mask)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,len:bigint>>").alias("spans"))

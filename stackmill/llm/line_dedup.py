@@ -31,7 +31,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.llm.common import stash, table
+from stackmill.llm.common import set_apart, stash, table
 from stackmill.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
@@ -263,11 +263,12 @@ def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs with the texts of which only kept and blank lines are left."""
-    kept = kept_lines(docs, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("_kept")).withColumnRenamed("doc_id", "_doc")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]), "left")
+    named, back = set_apart(docs, "doc_id", "text")
+    kept = kept_lines(named, similarity).groupBy("doc_id").agg(F.collect_set("line_no").alias("_kept")).withColumnRenamed("doc_id", "_doc")
+    joined = named.join(kept, named["doc_id"].eqNullSafe(kept["_doc"]), "left")
     stays = lambda x, i: ~has_word(x) | F.coalesce(F.array_contains(F.col("_kept"), i), F.lit(False))
     text = F.array_join(F.filter(F.split("text", "\n"), stays), "\n")
-    return joined.withColumn("text", text).select(docs.columns)
+    return back(joined.withColumn("text", text))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,3 +33,10 @@ def test_empty_ties_and_no_python(spark, sf_dir):
     tied = spark.createDataFrame([(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
     row = C.format_turns(tied.withColumn("parts", C.as_parts(F.col("text")))).withColumn("back", C.read_turns(F.col("formatted"))).first()
     assert [t["text"] for t in row["back"]] == ["a", "a", "b"]
+
+
+def test_ties_come_in_order_of_the_raw_text(spark):
+    texts = ["=b", "<a", "\\z", "[a", "<", "\\"]
+    tied = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    row = C.format_turns(tied.withColumn("parts", C.as_parts(F.col("text")))).withColumn("back", C.read_turns(F.col("formatted"))).first()
+    assert [t["text"] for t in row["back"]] == sorted(texts)

@@ -170,3 +170,10 @@ def test_sketches_rule_out_no_similar_pair(spark):
         unlike += want < 0.8
         ruled_out += not may[i]
     assert ruled_out >= 0.9 * unlike > 0
+
+
+def test_user_columns_with_internal_names(spark):
+    rows = [(1, "same line of text here\nother words stand here", 1, 2, 3, "x"), (2, "same line of text here\nnothing alike at all", 4, 5, 6, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept long, _doc long, a long, `line.no` string")
+    got = sorted(map(tuple, L.dedup_lines(docs).collect()))
+    assert got == [rows[0], (2, "nothing alike at all", 4, 5, 6, "y")]
