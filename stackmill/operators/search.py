@@ -250,17 +250,20 @@ def toc_lookup(scores: DataFrame, k: int) -> DataFrame:
 # --- queries -----------------------------------------------------------------------------------------------------------
 
 
-def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def described(chunks: DataFrame) -> DataFrame:
     """Chunks with a page (four chunks a page), a section (null for every third page), a caption and asset types."""
-    c = chunk(views.table(spark, sf_dir, "documents"))
     page = views.int_div(F.col("chunk_index"), 4) + 1
-    return c.select(
+    return chunks.select(
         "*", page.alias("page"), F.when(page % 3 != 0, F.concat(F.lit("Part "), page.cast("string"))).alias("section"),
         F.substring_index("text", " ", 5).alias("caption"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("name"),
         F.when(F.col("chunk_index") % 2 == 0, F.array(F.lit("figure"))).when(F.col("chunk_index") % 5 == 1, F.array(F.lit("figure"), F.lit("table"))).otherwise(F.array().cast("array<string>")).alias("asset_types"),
     )
 
 
+def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(chunk(views.table(spark, sf_dir, "documents")))
+
+
 def _vectors(spark, sf_dir):
     return views.table(spark, sf_dir, "embeddings").select((F.col("vec_id") * 16777216).alias("chunk_id"), "embedding")
 

@@ -38,14 +38,21 @@ def int_div(a: Column, n: int) -> Column:
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block_no (from 0), text: the lines of every document."""
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    return lines_of(table(spark, sf_dir, "documents"), "source")
+
+
+def lines_of(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", *more, F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
 
 
 def body_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines laid out four to a page: doc_id, block_no, page, x0, y0, x1, y1, text."""
+    return laid_out(lines(spark, sf_dir))
+
+
+def laid_out(lines: DataFrame) -> DataFrame:
     y0 = 90.0 + (F.col("block_no") % BLOCKS_PER_PAGE) * 160.0
-    return lines(spark, sf_dir).select(
+    return lines.select(
         "doc_id", "block_no", (int_div(F.col("block_no"), BLOCKS_PER_PAGE) + 1).alias("page"),
         F.lit(50.0).alias("x0"), y0.alias("y0"), F.lit(550.0).alias("x1"), (y0 + 120.0).alias("y1"), "text",
     )
@@ -76,7 +83,11 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An asset under every third line: doc_id, asset_id, kind, figure_number (null for every fourth), page, x0, y0, x1, y1, sort_key, summary."""
-    b = body_blocks(spark, sf_dir).filter(F.col("block_no") % 3 == 1)
+    return assets_of(body_blocks(spark, sf_dir))
+
+
+def assets_of(blocks: DataFrame) -> DataFrame:
+    b = blocks.filter(F.col("block_no") % 3 == 1)
     n = int_div(F.col("block_no"), 3)
     number = F.when(n % 4 != 3, F.concat((F.col("doc_id") % 9 + 1).cast("string"), F.lit("-"), (n + 1).cast("string")))
     return b.select(

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as ty
 
-from stackmill.functions.text import WS, blank_to_null
-from stackmill.operators import search
+from stackmill.functions.text import WS, blank_to_null, terms
+from stackmill.operators import search, termindex
+from stackmill.operators.answers import hashed_vector
 from stackmill.plans import views
 from stackmill.plans.views import scratch, with_views
+from stackmill.sources.store import Store, Table
 
 #: Types by extension, and the largest file.
 FORMATS = {
@@ -112,6 +114,29 @@ def prune_sessions(sessions: DataFrame, tombstones: DataFrame) -> DataFrame:
     return joined.filter(F.col("gone").isNull() | (F.size("left") > 0)).select("session_id", F.when(F.col("gone").isNull(), F.col("doc_ids")).otherwise(F.col("left")).alias("doc_ids"))
 
 
+def document_rows(docs: DataFrame) -> dict[str, DataFrame]:
+    """L1. doc_id, text -> the rows of a store's chunks, assets, vectors and postings. Texts are cut into chunks once."""
+    spark, aside = docs.sparkSession, scratch(docs.sparkSession)
+    search.described(search.chunk(docs)).write.parquet(aside)
+    chunks = spark.read.parquet(aside)
+    return {
+        "chunks": chunks,
+        "assets": asset_rows(views.assets_of(views.laid_out(views.lines_of(docs)))),
+        "vectors": chunks.select("doc_id", "chunk_id", hashed_vector(terms(F.col("text"))).alias("vector")),
+        # the number of a chunk begins with that of its document
+        "postings": termindex.occurrences(chunks).withColumn("doc_id", F.shiftright("chunk_id", 24)),
+    }
+
+
+def stored_counts(store: Store) -> DataFrame:
+    """doc_id, rows of each table and a digest of what they hold, for every document with a chunk."""
+    chunks = store.read("chunks").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.sum(F.length("text")).alias("chars"))
+    assets = store.read("assets").groupBy("doc_id").agg(F.count("*").alias("n_assets"), F.sum(F.length("caption")).alias("caption_chars"))
+    vectors = store.read("vectors").groupBy("doc_id").agg(F.count("*").alias("n_vectors"), F.sum(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)).cast("long").alias("vector_sum"))
+    postings = store.read("postings").filter("field = 'text'").groupBy("doc_id").agg(F.count("*").alias("n_postings"), F.sum("tf").alias("tf"), F.sum(F.col("positions")[0]).cast("long").alias("first_positions"))
+    return chunks.join(assets, "doc_id", "left").join(vectors, "doc_id", "left").join(postings, "doc_id", "left")
+
+
 # --- queries -----------------------------------------------------------------------------------------------------------
 
 
@@ -153,10 +178,13 @@ def a06_asset_rows(spark, sf_dir):
 
 
 def a07_vector_upsert(spark, sf_dir):
-    """Vectors written twice, the second time every third one again: the later row wins."""
+    """Vectors stored, then every third one again with a later number and every fifth with an earlier one: the latest stays."""
     e = views.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x"))
-    both = e.withColumn("seq", F.lit(0)).unionByName(e.filter("vec_id % 3 = 0").select("vec_id", (F.col("x") + 1.0).alias("x"), F.lit(1).alias("seq")))
-    return latest_by_key(both, "vec_id", "seq").select("vec_id", F.round("x", 6).alias("x"), "seq")
+    store = Store(spark, scratch(spark), (Table("vectors", "vec_id long, x double, seq int", ("vec_id",), "vec_id"),))
+    again = lambda rows, more, seq: e.filter(rows).select("vec_id", (F.col("x") + more).alias("x"), F.lit(seq).alias("seq"))
+    for batch, rows in enumerate((again("true", 0.0, 0), again("vec_id % 3 = 0", 1.0, 1), again("vec_id % 5 = 0", 2.0, -1))):
+        store.upsert("vectors", rows, "seq", str(batch))
+    return store.read("vectors").select("vec_id", F.round("x", 6).alias("x"), "seq")
 
 
 def a10_delete(spark, sf_dir):
@@ -164,6 +192,15 @@ def a10_delete(spark, sf_dir):
     return without_documents(views.assets(spark, sf_dir), gone).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
+def a10_delete_everywhere(spark, sf_dir):
+    """All documents stored in every table, then each tenth deleted from all of them."""
+    d = views.table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = Store(spark, scratch(spark))
+    store.replace(document_rows(d), d, "store")
+    store.delete(d.filter("doc_id % 10 = 0"), "delete")
+    return stored_counts(store)
+
+
 def a11_sessions(spark, sf_dir):
     o = views.table(spark, sf_dir, "orders")
     s = o.groupBy(F.col("o_custkey").alias("session_id")).agg(F.sort_array(F.collect_set(F.col("o_orderkey") % 50)).alias("doc_ids"))
@@ -178,7 +215,7 @@ def x3_html_to_chunks(spark, sf_dir):
     return search.chunk(p).select(F.col("doc_id").alias("page_id"), "chunk_index", "offset", F.md5("text").alias("text_md5"))
 
 
-QUERIES = {f.__name__: f for f in (a01_dispatch, a02_intake, a03_decode, a04_strip_html, a05_replace_documents, a06_asset_rows, a07_vector_upsert, a10_delete, a11_sessions, x3_html_to_chunks)}
+QUERIES = {f.__name__: f for f in (a01_dispatch, a02_intake, a03_decode, a04_strip_html, a05_replace_documents, a06_asset_rows, a07_vector_upsert, a10_delete, a10_delete_everywhere, a11_sessions, x3_html_to_chunks)}
 
 _FILES = f"""SELECT page_id, CASE WHEN page_id % 13 = 0 THEN ' ' ELSE 'f' || page_id || (['.PDF', '.docx', '.txt', '.md', '.tar.gz', '', '.Html', '.jpeg'])[page_id % 8 + 1] END AS name,
   CASE WHEN page_id % 11 = 0 THEN 0 WHEN page_id % 17 = 0 THEN {MAX_BYTES + 1} ELSE length(html) END AS size, CASE WHEN page_id % 3 = 1 THEN 'text/x' END AS given FROM pages"""
@@ -186,6 +223,19 @@ _TYPE = "(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in FORMATS.items()) + "})[
 _WS = r"E' \t\n\r\x0b\x0c'"
 _HTML = rf"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?>.*?</script>', '', 'g'), '(?is)<style.*?>.*?</style>', '', 'g'), '(?s)<[^>]+>', chr(10), 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\n{{3,}}', chr(10) || chr(10), 'g'), {_WS}) AS text FROM pages"""
 
+
+
+def stored_sql(kept: str) -> str:
+    """stored_counts of the documents that the condition keeps."""
+    t = search._TERMS.format("text")
+    return search._sql(
+        f"""SELECT doc_id, n_chunks, chars, n_assets, caption_chars, n_chunks AS n_vectors, tf AS vector_sum, n_postings, tf, first_positions
+      FROM (SELECT doc_id, count(*) AS n_chunks, sum(length(text))::BIGINT AS chars FROM ch WHERE {kept} GROUP BY doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n_assets, sum(length(nullif(trim(summary, {_WS}), '')))::BIGINT AS caption_chars FROM v_assets GROUP BY doc_id) USING (doc_id)
+      LEFT JOIN (SELECT doc_id, count(*) AS n_postings, sum(tf)::BIGINT AS tf, sum(p)::BIGINT AS first_positions FROM (SELECT doc_id, chunk_id, term, count(*) AS tf, min(pos) AS p
+        FROM (SELECT doc_id, chunk_id, unnest({t}) AS term, generate_subscripts({t}, 1) - 1 AS pos FROM ch) GROUP BY ALL) GROUP BY doc_id) USING (doc_id)""", "v_assets")
+
+
 ORACLES = {
     "a01_dispatch": f"WITH f AS ({_FILES}) SELECT page_id, {_TYPE} AS content_type FROM f",
     "a02_intake": f"WITH f AS ({_FILES}) SELECT page_id, coalesce(given, {_TYPE}) AS content_type, CASE WHEN trim(name) = '' THEN 'no name' WHEN {_TYPE} IS NULL THEN 'unknown type' WHEN size = 0 THEN 'empty' WHEN size > {MAX_BYTES} THEN 'too large' END AS reason FROM f",
@@ -194,6 +244,7 @@ ORACLES = {
     "a06_asset_rows": with_views("v_assets", body=f"SELECT asset_id, nullif(trim(summary, {_WS}), '') AS caption, sha256(summary) AS content_hash FROM v_assets"),
     "a07_vector_upsert": "SELECT vec_id, round(embedding[1]::DOUBLE + CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 0 END, 6) AS x, (vec_id % 3 = 0)::INT AS seq FROM embeddings",
     "a10_delete": with_views("v_assets", body="SELECT doc_id, count(*) AS n FROM v_assets WHERE doc_id % 10 <> 0 GROUP BY doc_id"),
+    "a10_delete_everywhere": stored_sql("doc_id % 10 <> 0"),
     "a11_sessions": """WITH s AS (SELECT o_custkey AS session_id, CASE WHEN o_custkey % 20 = 0 THEN []::BIGINT[] ELSE list_sort(list_distinct(list(o_orderkey % 50)))[1:3] END AS ids FROM orders GROUP BY o_custkey),
       t AS (SELECT *, list_filter(ids, lambda x: x % 3 <> 0) AS l FROM s) SELECT session_id, array_to_string(l, ',') AS doc_ids FROM t WHERE len(l) > 0 OR len(ids) = 0""",
     "x3_html_to_chunks": "WITH RECURSIVE " + ",\n".join(f"{k} AS ({v})" for k, v in {"documents": _HTML.replace("SELECT page_id,", "SELECT page_id AS doc_id,", 1), **{k: search._CHUNK_CTES[k] for k in ("c0", "c1", "c2", "c3")}}.items()) + ' SELECT doc_id AS page_id, chunk_index, "offset", md5(text) AS text_md5 FROM c3',
