@@ -120,10 +120,15 @@ def _events(spark, sf_dir):
 
 
 def _log(spark, sf_dir) -> DataFrame:
-    """Events as the calls of runs: run, step, ord, action, units, key."""
+    """Events as the calls of runs: run, step, ord, action, units, key, chunk, ts."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = _events(spark, sf_dir).withColumn("ord", F.row_number().over(w))
-    return e.select(F.col("user_id").alias("run"), views.int_div(F.col("ord") - 1, 3).alias("step"), "ord", F.col("event_type").alias("action"), (F.col("event_id") % 4).cast("long").alias("units"), F.concat("event_type", F.lit(":"), (F.col("event_id") % 5).cast("string")).alias("key"), (F.col("event_id") % 100).alias("chunk"))
+    return e.select(F.col("user_id").alias("run"), views.int_div(F.col("ord") - 1, 3).alias("step"), "ord", F.col("event_type").alias("action"), (F.col("event_id") % 4).cast("long").alias("units"), F.concat("event_type", F.lit(":"), (F.col("event_id") % 5).cast("string")).alias("key"), (F.col("event_id") % 100).alias("chunk"), "ts")
+
+
+def step_events(spark, sf_dir, *more: Column) -> DataFrame:
+    """run, step, seq, status (null for every fourth), delta."""
+    return _log(spark, sf_dir).select("run", "step", F.col("ord").alias("seq"), F.when(F.col("units") != 3, F.col("action")).alias("status"), F.concat("key", F.lit(" ")).alias("delta"), *more)
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
@@ -164,8 +169,7 @@ def i06_cached_calls(spark, sf_dir):
 
 
 def i08_fold_events(spark, sf_dir):
-    e = _log(spark, sf_dir).select("run", "step", F.col("ord").alias("seq"), F.when(F.col("units") != 3, F.col("action")).alias("status"), F.concat("key", F.lit(" ")).alias("delta"))
-    return fold_events(e)
+    return fold_events(step_events(spark, sf_dir))
 
 
 def i09_run_summary(spark, sf_dir):
