@@ -108,9 +108,10 @@ def html_cells(html: Column) -> Column:
     return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), clean)), lambda r: F.size(r) > 0)
 
 
-def markdown(rows: Column) -> Column:
-    """C9. Cells as a markdown table: ragged rows padded, blank cells one space, a separator only above a body."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r)))
+def markdown(rows: Column, width: Column | None = None) -> Column:
+    """C9. Cells as a markdown table: ragged rows padded (to width, where more rows are not given), blank cells one space, a
+    separator only above a body."""
+    width = F.array_max(F.transform(rows, lambda r: F.size(r))) if width is None else width
     line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
     rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
     made = F.transform(rows, line)

@@ -61,12 +61,19 @@ def chunk_regions(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def merged_markdown(parts: DataFrame) -> DataFrame:
-    """C11. table_id, part, markdown -> one table: later parts lose a header equal to the first one; cut at SUMMARY_CHARS."""
+    """C11. table_id, part (each once in a table), markdown -> one table: later parts lose a header equal to the first one; cut at
+    SUMMARY_CHARS. A line has six characters at least, so only the rows that can stand before the cut are brought together; each task
+    drops the others before the shuffle. The width is that of the whole table."""
     cells = parts.select("table_id", "part", C.markdown_cells(F.col("markdown")).alias("rows")).filter(F.size("rows") > 0)
-    grouped = cells.groupBy("table_id").agg(F.sort_array(F.collect_list(F.struct("part", "rows"))).alias("ps"))
-    head = F.col("ps")[0]["rows"][0]
-    body = F.transform("ps", lambda p, i: F.when((i > 0) & (p["rows"][0] == head), F.slice(p["rows"], F.lit(2), F.size(p["rows"]))).otherwise(p["rows"]))
-    return grouped.select("table_id", F.substring(C.markdown(F.flatten(body)), 1, C.SUMMARY_CHARS).alias("markdown"))
+    width = F.array_max(F.transform("rows", lambda r: F.size(r)))
+    tables = cells.groupBy("table_id").agg(F.min(F.struct("part", F.col("rows")[0].alias("head"))).alias("first"), F.max(width).alias("width"))
+    again = (F.col("part") != F.col("first.part")) & (F.col("rows")[0] == F.col("first.head"))
+    body = F.when(again, F.slice("rows", F.lit(2), F.size("rows"))).otherwise(F.col("rows"))
+    lines = cells.join(tables, "table_id").select("table_id", "part", "width", F.posexplode(body).alias("no", "row"))
+    near = S.first_rows(lines, Window.partitionBy("table_id").orderBy("part", "no"), C.SUMMARY_CHARS // 6 + 2)
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("rank", "row"))), lambda x: x["row"])
+    made = near.groupBy("table_id").agg(rows.alias("rows"), F.first("width").alias("width"))
+    return made.select("table_id", F.substring(C.markdown(F.col("rows"), F.col("width")), 1, C.SUMMARY_CHARS).alias("markdown"))
 
 
 def admitted_table(rows: Column, cols: Column, filled: Column, summary: Column) -> Column:
@@ -187,8 +194,9 @@ def x5_attach(spark, sf_dir):
 
 def g03_rerank(spark, sf_dir):
     hits = S._text_hits(spark, sf_dir, S.RETRIEVE_K)
-    loaded = S._chunks(spark, sf_dir).join(F.broadcast(hits.select("query_id", "rank", "chunk_id")), "chunk_id").select("query_id", "rank", "chunk_id", "text")
-    return rerank(loaded, views.queries(spark, sf_dir)).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    q = views.queries(spark, sf_dir)
+    loaded = S._chunks(spark, sf_dir).join(S.few_hits(hits, q, S.RETRIEVE_K), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+    return rerank(loaded, q).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
 def h08_load_ranked(spark, sf_dir):
@@ -240,7 +248,7 @@ def e12_bodies(spark, sf_dir):
 def e13_result_listing(spark, sf_dir):
     """The numbered hits of each query as one text."""
     hits = S._text_hits(spark, sf_dir, S.FINAL_K)
-    rows = S._chunks(spark, sf_dir).join(F.broadcast(hits.select("query_id", "rank", "chunk_id")), "chunk_id")
+    rows = S._chunks(spark, sf_dir).join(S.few_hits(hits, views.queries(spark, sf_dir), S.FINAL_K), "chunk_id")
     one = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] "), "name", F.lit("\n"), F.substring("text", 1, 240))
     g = rows.groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", one.alias("o")))), lambda x: x["o"]), "\n\n").alias("body"))
     return g.select("query_id", "n", F.md5("body").alias("listing_md5"))

@@ -282,12 +282,22 @@ def k02_histogram(spark, sf_dir):
     return histogram(_requests(spark, sf_dir), ["route"]).withColumn("total", F.round("total", 2))
 
 
+def in_progress(steps: DataFrame, key: str, span: str = "10 minutes") -> DataFrame:
+    """K3. key, at, d (1: start, -1: end), event_id -> the most that were open at once, and the sum of what was open after each
+    step. Running sums stay within spans of time; only one row a span is put in order for a key, so that a key with most of the rows is
+    not one task."""
+    w = Window.partitionBy(key, "span").orderBy("at", "d", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    opened = steps.withColumn("span", F.window("at", span)["start"]).withColumn("open", F.sum("d").over(w))
+    spans = opened.groupBy(key, "span").agg(F.count("*").alias("n"), F.sum("d").alias("net"), F.max("open").alias("most"), F.sum("open").alias("sum_open"))
+    before = F.coalesce(F.sum("net").over(Window.partitionBy(key).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return spans.withColumn("before", before).groupBy(key).agg(F.max(F.col("before") + F.col("most")).alias("most"), F.sum(F.col("before") * F.col("n") + F.col("sum_open")).alias("sum_open"))
+
+
 def k03_in_progress(spark, sf_dir):
     """Open requests after each start or end, by route."""
     r = _requests(spark, sf_dir)
     steps = r.select("route", "event_id", F.col("ts").alias("at"), F.lit(1).alias("d")).unionByName(r.select("route", "event_id", (F.col("ts") + F.expr("INTERVAL 2 HOURS")).alias("at"), F.lit(-1).alias("d")))
-    w = Window.partitionBy("route").orderBy("at", "d", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return steps.withColumn("open", F.sum("d").over(w)).groupBy("route").agg(F.max("open").alias("most"), F.sum("open").alias("sum_open"))
+    return in_progress(steps, "route")
 
 
 def k04_tasks(spark, sf_dir):

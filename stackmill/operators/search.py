@@ -30,6 +30,13 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
 
 
+def few_hits(hits: DataFrame, requests: DataFrame, k: int) -> DataFrame:
+    """The ranked ids of hits, at most k a request, marked for broadcast if so many are at most SMALL_ROWS. Only requests are counted."""
+    ids = hits.select("query_id", "rank", "chunk_id")
+    most = SMALL_ROWS // k
+    return F.broadcast(ids) if requests.limit(most + 1).count() <= most else ids
+
+
 # --- chunks and postings ---------------------------------------------------------------------------------------------
 
 
@@ -229,8 +236,9 @@ def toc_scores(entries: DataFrame, requests: DataFrame) -> DataFrame:
     level. Only positive scores."""
     ranked = entries.withColumn("nth", F.when(F.col("level") == 1, F.sum((F.col("level") == 1).cast("int")).over(Window.partitionBy("doc_id").orderBy("ord"))))
     pairs = ranked.crossJoin(small(requests))
-    chapter = pairs.filter("chapter is not null and nth = chapter").select("query_id", "doc_id", F.col("title").alias("c_title"), F.col("path").alias("c_path"))
-    rows = pairs.join(F.broadcast(chapter), ["query_id", "doc_id"], "left")
+    # entries are placed by document already, so this window moves nothing
+    chapter = F.max(F.when(F.col("nth") == F.col("chapter"), F.struct("title", "path"))).over(Window.partitionBy("query_id", "doc_id"))
+    rows = pairs.withColumn("c", chapter).withColumn("c_title", F.col("c.title")).withColumn("c_path", F.col("c.path"))
     hay = F.lower(F.concat_ws(" ", "title", "path"))
     part = lambda t: F.when(F.contains(hay, F.lower(t)), 10.0 + F.length(t)).otherwise(0.0) + F.when(F.contains(F.lower(F.col("title")), F.lower(t)), 5.0).otherwise(0.0)
     terms = F.aggregate(F.filter("terms", lambda t: t != ""), F.lit(0.0), lambda a, t: a + part(t))
@@ -414,17 +422,17 @@ def h22_asset_lookup(spark, sf_dir):
     a = views.assets(spark, sf_dir).filter("figure_number is not null")
     asked = spark.range(1, 10).select(F.col("id").alias("query_id"), F.concat(F.lit("Fig. 0"), F.col("id").cast("string"), F.lit(" - 1")).alias("raw"))
     asked = asked.withColumn("p", T.asset_number(F.col("raw"))).select("query_id", F.col("p.kind").alias("kind"), F.col("p.number").alias("figure_number"))
-    hits = a.join(F.broadcast(asked), ["kind", "figure_number"]).select("query_id", "doc_id", "asset_id").distinct()
+    hits = a.join(small(asked), ["kind", "figure_number"]).select("query_id", "doc_id", "asset_id").distinct()
     return hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "asset_id"))).filter("n <= 5")
 
 
 def e11_context(spark, sf_dir):
     """Header and text of each query's hits in rank order."""
-    return _context(_text_hits(spark, sf_dir, FINAL_K), _chunks(spark, sf_dir)).select("query_id", "n_chunks", F.md5("context").alias("context_md5"))
+    return _context(few_hits(_text_hits(spark, sf_dir, FINAL_K), views.queries(spark, sf_dir), FINAL_K), _chunks(spark, sf_dir)).select("query_id", "n_chunks", F.md5("context").alias("context_md5"))
 
 
 def _context(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    loaded = chunks.join(F.broadcast(hits.select("query_id", "rank", "chunk_id")), "chunk_id")
+    loaded = chunks.join(hits, "chunk_id")
     head = T.chunk_header(F.col("name"), F.col("page"), F.col("section"), F.array_sort(F.array_distinct("asset_types")), F.size("asset_types") > 0)
     one = F.concat(head, F.lit("\n"), "text")
     return loaded.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", one.alias("c")))), lambda x: x["c"]), "\n\n---\n\n").alias("context"), F.count("*").alias("n_chunks"))

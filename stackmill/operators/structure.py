@@ -64,10 +64,12 @@ def markdown_sections(docs: DataFrame) -> DataFrame:
 
 def toc_intervals(toc: DataFrame, pages: DataFrame) -> DataFrame:
     """B5. Adds end_page: one before the page of the next bookmark of the same or a shallower level, never before the own
-    page; the page count where there is none."""
-    later = toc.select("doc_id", F.col("ord").alias("o2"), F.col("level").alias("l2"), F.col("page").alias("p2"))
-    ahead = toc.join(later, "doc_id").filter("o2 > ord and l2 <= level").groupBy("doc_id", "ord").agg(F.min_by("p2", "o2").alias("next_page"))
-    out = toc.join(ahead, ["doc_id", "ord"], "left").join(pages.select("doc_id", "page_count"), "doc_id")
+    page; the page count where there is none. A bookmark stands in the sequence of its own level and of every deeper level of its document, so
+    what follows it in its own one ends it: rows grow with the depth of a document, and one shuffle by document serves all."""
+    levels = F.collect_set("level").over(Window.partitionBy("doc_id"))
+    deeper = toc.withColumn("_ls", levels).withColumn("_l", F.explode_outer(F.filter("_ls", lambda x: x >= F.col("level")))).drop("_ls")
+    after = F.when(F.col("level").isNotNull(), F.lead("page").over(Window.partitionBy("doc_id", "_l").orderBy("ord")))
+    out = deeper.withColumn("next_page", after).filter(F.col("level").eqNullSafe(F.col("_l"))).join(pages.select("doc_id", "page_count"), "doc_id")
     end = F.greatest(F.col("page"), F.coalesce(F.col("next_page") - 1, F.col("page_count")))
     return out.select("doc_id", "ord", "level", "title", F.col("page").alias("start_page"), end.alias("end_page"))
 
@@ -92,9 +94,12 @@ def section_paths(toc: DataFrame, order: str = "ord") -> DataFrame:
 
 
 def section_for_page(entries: DataFrame, pages: DataFrame) -> DataFrame:
-    """B9. For each (doc_id, page) the path of the deepest entry whose interval holds the page, the first one on ties."""
-    hit = pages.join(entries, "doc_id").filter("page between start_page and end_page")
-    return hit.groupBy("doc_id", "page").agg(F.max_by("path", F.struct(F.col("level"), -F.col("ord"))).alias("section"))
+    """B9. For each (doc_id, page) the path of the deepest entry whose interval holds the page, the first one on ties. The pages of
+    an interval are enumerated, between the first and the last page asked for; levels nest, so rows grow with the depth of a document."""
+    asked = pages.groupBy("doc_id").agg(F.min("page").alias("low"), F.max("page").alias("high"))
+    held = entries.join(asked, "doc_id").withColumn("low", F.greatest("low", "start_page")).withColumn("high", F.least("high", "end_page")).filter("start_page <= end_page and low <= high")
+    best = held.select("doc_id", "level", "ord", "path", F.explode(F.sequence("low", "high")).alias("page")).groupBy("doc_id", "page").agg(F.max_by("path", F.struct(F.col("level"), -F.col("ord"))).alias("section"))
+    return best.join(pages, ["doc_id", "page"], "left_semi")
 
 
 def front_matter_start(entries: DataFrame) -> DataFrame:

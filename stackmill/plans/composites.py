@@ -20,9 +20,11 @@ OLD_LINES, SHORT_TEXT = 5, 200
 def language_profiles(docs: DataFrame, k: int = PROFILE) -> DataFrame:
     """lang, word, weight: the k most frequent words of each language, by share of its words."""
     words = docs.select("lang", F.explode(T.terms(F.col("text"))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy("lang"))
-    ranked = S.first_rows(words.withColumn("share", share), Window.partitionBy("lang").orderBy(F.desc("n"), "word"), k)
-    return ranked.select("lang", "word", F.round(F.log(1 + 1000 * F.col("share")), 6).alias("weight"))
+    # totals are aggregated, not windowed: no task holds all words of a language
+    totals = words.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("total"))
+    ranked = S.first_rows(words, Window.partitionBy("lang").orderBy(F.desc("n"), "word"), k)
+    shared = ranked.join(totals, ranked["lang"].eqNullSafe(totals["_lang"])).withColumn("share", F.col("n") / F.col("total"))
+    return shared.select("lang", "word", F.round(F.log(1 + 1000 * F.col("share")), 6).alias("weight"))
 
 
 def detect_language(docs: DataFrame, profiles: DataFrame, default: str = "zh") -> DataFrame:
@@ -76,7 +78,7 @@ def h06_retrieve_once(spark, sf_dir):
     c = S._chunks(spark, sf_dir).filter(S.ChunkFilter(page_lte=3).condition())
     q = views.queries(spark, sf_dir)
     hits = S.top_k(S.bm25(c, q), S.RETRIEVE_K)
-    loaded = c.join(F.broadcast(hits.select("query_id", "rank", "chunk_id")), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+    loaded = c.join(S.few_hits(hits, q, S.RETRIEVE_K), "chunk_id").select("query_id", "rank", "chunk_id", "text")
     return rerank(loaded, q).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 

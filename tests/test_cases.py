@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmill.functions import text as T
-from stackmill.operators import answers as D, assets as C, reports as R, search as S, structure as B
+from stackmill.operators import answers as D, assets as C, layout, reports as R, search as S, structure as B
 from stackmill.sources import documents as A
 from stackmill.streaming import jobs as L
 
@@ -232,3 +232,48 @@ def test_rate_limit_stream_as_batch(spark, tmp_path):
     got = {r["id"]: r["admitted"] for r in jobs.drain(jobs.rate_limit_stream(stream), str(tmp_path / "out")).collect()}
     want = {r["id"]: r["admitted"] for r in jobs.rate_limit(spark.createDataFrame(rows, "client long, id long, at double")).collect()}
     assert got == want and 0 < sum(want.values()) < 300
+
+
+def test_intervals_of_odd_levels(spark):
+    toc = spark.createDataFrame([(1, 0, 2, "a", 1), (1, 1, 5, "b", 2), (1, 2, 5, "c", 4), (1, 3, None, "n", 5), (1, 4, 3, "d", 6), (1, 5, 2, "e", 9), (2, 0, 1, "z", 3)], "doc_id long, ord long, level int, title string, page int")
+    pages = spark.createDataFrame([(1, 12), (2, 2)], "doc_id long, page_count int")
+    got = {(r["doc_id"], r["ord"]): (r["start_page"], r["end_page"]) for r in B.toc_intervals(toc, pages).collect()}
+    assert got == {(1, 0): (1, 8), (1, 1): (2, 3), (1, 2): (4, 5), (1, 3): (5, 12), (1, 4): (6, 8), (1, 5): (9, 12), (2, 0): (3, 3)}
+    assert B.toc_intervals(toc.limit(0), pages).count() == 0
+
+
+def test_section_of_pages_asked_for(spark):
+    entries = spark.createDataFrame([(1, 0, 1, 1, 10**9, "all"), (1, 1, 2, 2, 3, "two"), (1, 2, 2, 3, 4, "late"), (1, 3, 3, 9, 8, "turned")], "doc_id long, ord long, level int, start_page int, end_page int, path string")
+    pages = spark.createDataFrame([(1, p) for p in (1, 2, 3, 4, 4, 8)] + [(2, 1)], "doc_id long, page int")
+    got = sorted((r["page"], r["section"]) for r in B.section_for_page(entries, pages).collect())
+    assert got == [(1, "all"), (2, "two"), (3, "two"), (4, "late"), (8, "all")]
+
+
+def test_merged_table_longer_than_the_cut(spark):
+    """Only rows before the cut are gathered; one beyond it still widens the table, and a different header stays."""
+    table = lambda head, body: "\n".join([f"| {head} | y |", "| --- | --- |", *body])
+    parts = [("t", p, table("x" if p != 1 else "other", [f"| {p} | {i} |" for i in range(300)])) for p in range(6)]
+    parts += [("t", 6, "| x | y |\n| 1 | 2 | 3 |"), ("u", 0, "| a |"), ("v", 0, "no table")]
+    got = dict(layout.merged_markdown(spark.createDataFrame(parts, "table_id string, part int, markdown string")).collect())
+    lines = ["| x | y |   |", "| --- | --- | --- |"] + [f"| {p} | {i} |   |" for p in (0,) for i in range(300)] + ["| other | y |   |"] + [f"| 1 | {i} |   |" for i in range(300)]
+    assert got["t"] == "\n".join(lines)[:4000] and set(got) == {"t", "u"} and got["u"] == "| a |"
+
+
+def test_open_requests_across_spans(spark):
+    """Starts before ends at one moment come last, and what is open at the end of a span is carried on."""
+    import random
+
+    rng, steps = random.Random(5), []
+    for i in range(300):
+        at = rng.randrange(0, 7200)
+        steps += [("hot" if i % 3 else "cold", at, 1, i), ("hot" if i % 3 else "cold", at + rng.randrange(0, 3000), -1, i)]
+    frame = spark.createDataFrame(steps, "route string, s long, d int, event_id long").withColumn("at", F.timestamp_seconds("s"))
+    want = {}
+    for key in ("hot", "cold"):
+        now = most = total = 0
+        most = -1
+        for _, _, d, _ in sorted((s for s in steps if s[0] == key), key=lambda s: (s[1], s[2], s[3])):
+            now += d
+            most, total = max(most, now), total + now
+        want[key] = (most, total)
+    assert {r["route"]: (r["most"], r["sum_open"]) for r in R.in_progress(frame, "route").collect()} == want
