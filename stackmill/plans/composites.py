@@ -9,6 +9,7 @@ from stackmill.functions import text as T
 from stackmill.operators import answers as D
 from stackmill.operators import search as S
 from stackmill.operators import structure as B
+from stackmill.operators.evidence import compacted_listing
 from stackmill.plans import views
 from stackmill.plans.views import with_views
 
@@ -36,13 +37,14 @@ def detect_language(docs: DataFrame, profiles: DataFrame, default: str = "zh") -
 
 
 def compacted(text: Column, action: Column, recent: Column) -> Column:
-    """E16. Recent steps and final answers stay; outlines keep their first lines and a note; other long texts are cut."""
+    """E16. Recent steps and final answers stay; outlines keep their first lines and a note, listings of searches and readings their
+    headers (compacted_listing); other long texts are cut."""
     lines = F.filter(F.split(text, "\n"), lambda x: T.strip(x) != "")
     outline = F.when(F.size(lines) <= OLD_LINES, text).otherwise(
         F.concat(F.lit("（历史步压缩 · list_outline · 共 "), F.size(lines).cast("string"), F.lit(" 行）\n"), F.array_join(F.slice(lines, 1, OLD_LINES), "\n"), F.lit("\n… 省略 "), (F.size(lines) - OLD_LINES).cast("string"), F.lit(" 行；需章节页码请 lookup_toc。"))
     )
     long = F.when(F.length(text) <= SHORT_TEXT, text).otherwise(F.concat(F.substring(text, 1, SHORT_TEXT), F.lit("…（已截断）")))
-    return F.when(recent | action.isin("finish", "ask_user"), text).when(action.isin("list_outline", "list_documents"), outline).otherwise(long)
+    return F.when(recent | action.isin("finish", "ask_user"), text).when(action.isin("list_outline", "list_documents"), outline).otherwise(F.coalesce(compacted_listing(text, action), long))
 
 
 # --- queries -----------------------------------------------------------------------------------------------------------

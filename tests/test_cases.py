@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackmill.functions import text as T
-from stackmill.operators import answers as D, assets as C, layout, reports as R, search as S, structure as B
+from stackmill.operators import answers as D, assets as C, evidence as E, layout, reports as R, search as S, structure as B
 from stackmill.sources import documents as A
 from stackmill.streaming import jobs as L
 
@@ -277,3 +277,45 @@ def test_open_requests_across_spans(spark):
             most, total = max(most, now), total + now
         want[key] = (most, total)
     assert {r["route"]: (r["most"], r["sum_open"]) for r in R.in_progress(frame, "route").collect()} == want
+
+
+def listing(spark, text, action):
+    return one(spark, E.compacted_listing(F.lit(text), F.lit(action)))
+
+
+def test_listing_of_a_past_search(spark):
+    text = "  检索工具：search_chunks，命中 2 条：\n\n[1] a.pdf p.3 id=x \n" + "词" * 300 + "\n\n[2] b.pdf id=y\n\n\n\n"
+    assert listing(spark, text, "search_chunks") == "（历史步压缩 · search_chunks · 4 条）\n检索工具：search_chunks，命中 2 条：\n\n[1] a.pdf p.3 id=x\n" + "词" * 60 + "\n\n[2] b.pdf id=y\n\n\n\n"
+    assert listing(spark, text, "read_pages").startswith("（历史步压缩 · read_pages · 4 条 · 正文见证据池）\n检索工具")
+    assert "词" not in listing(spark, text, "read_neighbor_chunks")
+    assert listing(spark, "s" * 301, "lookup_toc") == "s" * 300 + "…" and listing(spark, "s" * 250, "lookup_toc") == "s" * 250
+    assert listing(spark, "short", "search_chunks_batch") == "short" and listing(spark, text, "other") is None
+
+
+def test_listing_of_a_past_batch(spark):
+    text = "并行检索 2 路：\r\n\n--- 检索 1：原因 ---\n  [1] a.pdf id=x  \n    " + "原因说明 " * 40 + "\n--- 检索 2 ---\n（无结果）"
+    want = "（历史步压缩 · search_chunks_batch · 1 条）\n并行检索 2 路：\n--- 检索 1：原因 ---\n  [1] a.pdf id=x\n    " + ("原因说明 " * 40)[:60] + "\n--- 检索 2 ---\n（无结果）"
+    assert listing(spark, text, "search_chunks_batch") == want
+
+
+def header(spark, **given):
+    row = {"number": 1, "name": "Manual.pdf", "page": 3, "section": "Alarm", "assets": None, "caption": None, "score": 0.77, "chunk_id": "c", "chunk_index": 0} | given
+    types = {"number": "int", "page": "int", "assets": E.ASSET, "score": "double", "chunk_index": "int"}
+    frame = spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {types.get(k, 'string')}" for k in row))
+    return frame.select(E.detailed_header(*[F.col(k) for k in row]).alias("x")).first()["x"]
+
+
+def test_detailed_header(spark):
+    table, figure = ("table", " 2-1 ", None, "", "seen"), ("figure", None, None, None, None)
+    assert header(spark, assets=[table, figure, table]) == "[1] Manual.pdf p.3 §Alarm assets=figure,table fig=2-1 visual=1 caption=1 score=0.770 id=c idx=0"
+    assert header(spark, number=None, page=None, section="", score=0.9995, chunk_id="", chunk_index=None) == "Manual.pdf"
+    assert header(spark, assets=[figure], caption="c", score=12.0, name=None, chunk_id=None) == "[1] p.3 §Alarm assets=figure visual=1 caption=1 score=12.000 idx=0"
+
+
+def test_caption_fields_and_tables_with_nulls(spark):
+    rows = spark.createDataFrame([(1, [("t", None, " a ", None, " "), ("t", None, "b", "f", None)]), (2, None), (3, [])], f"k int, assets {E.ASSET}")
+    got = {r["k"]: tuple(map(tuple, r["f"])) for r in rows.select("k", E.caption_fields(F.col("assets")).alias("f")).collect()}
+    assert got == {1: (("f",), ("a", "b"), ()), 2: ((), (), ()), 3: ((), (), ())}
+    tables = [(1, 2, 1, "s" * 5000, 0.0, 0.0, 1.0, 1.0), (2, 1, 1, "s", 0.0, 0.0, 1.0, 1.0), (3, 1, 2, "\n", 0.0, 0.0, 1.0, 1.0), (4, 3, 3, "s", 1.0, 0.0, 1.0, 1.0), (5, 3, None, "s", 2.0, 2.0, 1.0, 1.0), (6, None, 3, "s", None, 0.0, 1.0, 1.0), (7, None, 2, None, 0.0, 0.0, 1.0, 1.0)]
+    kept = E.admitted_tables(spark.createDataFrame(tables, "k int, rows int, cols int, summary string, x0 double, y0 double, x1 double, y1 double")).collect()
+    assert [(r["k"], len(r["summary"])) for r in kept] == [(1, 4000)]
