@@ -6,7 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 #: Modules with QUERIES (name -> function) and ORACLES (name -> DuckDB SQL).
-MODULES: tuple[str, ...] = ("sources.documents", "operators.structure", "operators.search", "operators.assets", "operators.answers", "operators.reports", "operators.layout", "operators.evidence", "operators.requests", "plans.composites", "operators.subindex", "streaming.jobs")
+MODULES: tuple[str, ...] = ("sources.documents", "operators.structure", "operators.search", "operators.assets", "operators.answers", "operators.reports", "operators.layout", "operators.evidence", "operators.models", "operators.requests", "plans.composites", "operators.subindex", "streaming.jobs")
 FLAGSHIP = "x1_hybrid_search"
 
 
