@@ -68,13 +68,12 @@ def _listing(text: Column, action: Column) -> Column:
     parts = F.split(text, "\n\n")
     summary, read = T.strip(parts[0]), action.isin(*READS)
 
-    def block(b: Column) -> Column:
-        head = F.substring_index(T.strip(b), "\n", 1)
-        snippet = F.substring(T.strip(F.substring(T.strip(b), F.length(head) + 2, F.length(b))), 1, SNIPPET)
-        alone = read | ~F.contains(T.strip(b), F.lit("\n"))
-        return F.when(alone, T.strip(head)).otherwise(F.concat(T.strip(head), F.lit("\n"), snippet))
-
-    blocks = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), block)
+    # a block is stripped once and its header cut once, not again wherever they are used
+    stripped = F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda b: T.strip(b))
+    headed = F.transform(stripped, lambda b: F.struct(b.alias("b"), F.substring_index(b, "\n", 1).alias("head")))
+    snippet = lambda x: F.substring(T.strip(F.substring(x["b"], F.length(x["head"]) + 2, F.length(x["b"]))), 1, SNIPPET)
+    alone = lambda x: read | (F.length(x["b"]) == F.length(x["head"]))
+    blocks = F.transform(headed, lambda x: F.when(alone(x), T.strip(x["head"])).otherwise(F.concat(T.strip(x["head"]), F.lit("\n"), snippet(x))))
     clipped = F.concat(F.substring(summary, 1, SUMMARY), F.when(F.length(summary) > SUMMARY, "…").otherwise(""))
     whole = F.concat(_note(action, F.size(blocks), F.when(read, " · 正文见证据池").otherwise("")), summary, F.lit("\n\n"), F.array_join(blocks, "\n\n"))
     return F.when(F.size(blocks) == 0, clipped).otherwise(whole)
@@ -146,7 +145,7 @@ def e16_listing_compaction(spark, sf_dir):
     batch = F.concat(F.lit("并行检索 2 路，合计命中 "), n, F.lit(" 条：\n\n--- 检索 1 ---"), F.array_join(F.transform("ls", lambda x: F.concat(F.lit("\n  "), x["head"], F.lit(" \n    "), x["text"])), ""), F.lit("\n--- 检索 2 ---\n（无结果）"))
     made = rows.withColumn("action", action).withColumn("text", F.when(F.col("action") == BATCH, batch).otherwise(listing))
     kept = compacted_listing(F.col("text"), F.col("action"))
-    return made.select("doc_id", "action", F.length(kept).alias("n_chars"), F.md5(kept).alias("listing_md5"))
+    return made.select("doc_id", "action", kept.alias("kept")).select("doc_id", "action", F.length("kept").alias("n_chars"), F.md5("kept").alias("listing_md5"))
 
 
 def c06_table_admission(spark, sf_dir):
