@@ -6,10 +6,12 @@ plan holds CHUNK shingles): two lines agree at a point with the probability of t
 share a band meet its representative (the least line of the band's bucket); each pair is verified by the Jaccard
 similarity of the full shingle sets, and verified links are resolved by distributed connected components. Buckets whose
 lines are then still in different components are resolved wholly: in small ones every pair of different components is
-verified; the lines of large ones meet by exact prefix filtering, which loses no similar pair, and are verified too. Pairs
-of either kind are first held to a bound: a line's sketch has a bit for each of SKETCH slots, set if an odd number of its
-distinct shingles fall there, so two sketches differ in no more bits than the lines differ in shingles, and a pair whose
-sketches differ in more than the similarity allows is not similar. Of a
+verified; the lines of large ones meet by exact prefix filtering, which loses no similar pair, and are verified too. Before all
+pairs of large ones do, their lines meet, in STARS rounds, one line each of another component with which they share rare
+shingles; what is similar is then mostly of one component, and pairs within one are not met. Pairs of every kind are first
+held to a bound: a line's sketch has a bit for each of SKETCH slots, set if some of its shingles fall there, so two
+sketches differ in no more bits than the lines differ in shingles, and a pair whose sketches differ in more than the
+similarity allows is not similar. Of a
 component, the first line (least document id, then line number) is kept, and every other occurrence of its lines goes.
 
 With three rows in each of six bands, a pair at the threshold of 0.8 shares a band with probability 0.986, at 0.9 with
@@ -37,14 +39,20 @@ from stackmill.llm.components import connected_components
 SHINGLE, SIMILARITY = 12, 0.8
 BANDS, ROWS = 6, 3
 #: Shingles hashed in one row of the plan.
-CHUNK = 8
+CHUNK = 16
 #: Bits of a node; 64 but in tests.
 NODE_BITS = 64
 #: Pairs of an unresolved bucket that are verified as they are; lines of larger buckets go by their rare shingles.
 AT_ONCE = 1024
+#: Rounds in which lines of large unresolved buckets meet the head of a rare shingle before all their pairs do.
+STARS = 2
+#: Rare shingles that a line of the prefix join remembers, so that a pair is met about once.
+BEFORE = 3
 #: Bits of a line's sketch, in words of 64.
-SKETCH = 1024
+SKETCH = 2048
 _WORDS = [f"k{j}" for j in range(SKETCH // 64)]
+#: Words of the sketch folded in two, for joins with a condition on it: what is compiled for more is too long to become machine code.
+_FOLDED = _WORDS[: len(_WORDS) // 2]
 
 
 #: The blanks at the start of a line that has a word, and the first character of the word.
@@ -67,24 +75,34 @@ def lines_of(docs: DataFrame, clashes: Sequence[DataFrame] = ()) -> DataFrame:
     return lines
 
 
-def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines, and a, at (the first place) of every distinct line, with nodes that no two lines share."""
+def signed_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines, and a, at (the first place), keys (of its bands) of every distinct line, with nodes that no two lines share."""
     clashes: list[DataFrame] = []
     while True:
         lines = lines_of(docs, clashes)
-        first = stash(lines.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min(_place()).alias("at")), "line-first")
-        clash = first.filter("low <> high")
+        signed = stash(signatures(lines), "line-signed")
+        clash = signed.filter("low <> high")
         if clash.isEmpty():
-            return lines, first.select("a", "at")
+            return lines, signed.select("a", "at", "keys")
         clashes.append(stash(clash.select("a"), "line-clashes"))
 
 
+def nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines, and a, at (the first place) of every distinct line, with nodes that no two lines share."""
+    lines, signed = signed_nodes(docs)
+    return lines, signed.select("a", "at")
+
+
 def _units(line: Column) -> Column:
     return F.encode(line, "UTF-16BE")
 
 
 def _shingle(units: Column, at: Column) -> Column:
-    return F.xxhash64(F.substring(units, at * 2 + 1, F.lit(2 * SHINGLE)))
+    return _shingle_from(units, at * 2 + 1)
+
+
+def _shingle_from(units: Column, octet: Column) -> Column:
+    return F.xxhash64(F.substring(units, octet, F.lit(2 * SHINGLE)))
 
 
 def _last(units: Column) -> Column:
@@ -96,18 +114,28 @@ def points(n: int = BANDS * ROWS) -> list[int]:
     return [(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 1 for k in range(1, n + 1)]
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """a, key: the band keys of every distinct line."""
+def _hashed(lines: DataFrame, chunk: int, *names: str) -> DataFrame:
+    """The named columns, last and h0, h1 ..: the hashes of a line's shingles, chunk to a row."""
     units = lines.withColumn("u", _units(F.col("line"))).withColumn("last", _last(F.col("u")))
-    chunks = units.select("a", "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(CHUNK))).alias("at"))
-    # the last shingle stands for those beyond it: a set's least value does not change
-    hashed = chunks.select("a", *[_shingle(F.col("u"), F.least(F.col("at") + k, F.col("last"))).alias(f"h{k}") for k in range(CHUNK)])
+    chunks = units.select(*names, "u", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(chunk))).alias("_at"))
+    # the last shingle stands for those beyond it: neither a set's least value nor a sketch changes
+    return chunks.select(*names, "last", *[_shingle(F.col("u"), F.least(F.col("_at") + k, F.col("last"))).alias(f"h{k}") for k in range(chunk)])
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """a, low and high (least and greatest second hash), at (the first place), keys (of the bands) of every distinct line."""
+    hashed = _hashed(lines.select("a", "b", _place().alias("place"), "line"), CHUNK, "a", "b", "place")
     near = lambda p: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(CHUNK)])
     # ANSI casts must not overflow: the shifted value is masked to 31 bits first
     nearest = [F.shiftrightunsigned(F.min(near(p)), 24).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{k}") for k, p in enumerate(points())]
-    signed = hashed.groupBy("a").agg(*nearest)
+    signed = hashed.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.min("place").alias("at"), *nearest)
     keys = F.array(*[F.xxhash64(F.lit(j), *[F.col(f"m{j * ROWS + i}") for i in range(ROWS)]) for j in range(BANDS)])
-    return signed.select("a", F.explode(keys).alias("key"))
+    return signed.select("a", "low", "high", "at", keys.alias("keys"))
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """a, key: the band keys of every distinct line."""
+    return signatures(lines).select("a", F.explode("keys").alias("key"))
 
 
 def bucket_members(keys: DataFrame) -> DataFrame:
@@ -134,69 +162,140 @@ def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def sketches(lines: DataFrame) -> DataFrame:
-    """a, n (distinct shingles) and the words of the sketch of every line (a, line; each once)."""
-    w = F.col("w")
-    slot, bit = F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(len(_WORDS) - 1)), F.expr("shiftleft(1L, int(w & 63L))")
-    words = [F.coalesce(F.bit_xor(F.when(slot == j, bit)), F.lit(0).cast("long")).alias(k) for j, k in enumerate(_WORDS)]
-    return lines.select("a", F.explode(_shingles(F.col("line"))).alias("w")).groupBy("a").agg(F.count("*").alias("n"), *words)
+    """a, n (shingles, repeats included) and the words of the sketch of every line (a, line; each once)."""
+    chunk = 4
+
+    def word(j: int) -> Column:
+        set_ = None
+        for k in range(chunk):
+            h = F.col(f"h{k}")
+            bit = F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(len(_WORDS) - 1)) == j, F.expr(f"shiftleft(1L, int(h{k} & 63L))")).otherwise(F.lit(0).cast("long"))
+            set_ = bit if set_ is None else set_.bitwiseOR(bit)
+        return F.bit_or(set_).alias(_WORDS[j])
+
+    return _hashed(lines, chunk, "a").groupBy("a").agg((F.max("last") + 1).cast("long").alias("n"), *[word(j) for j in range(len(_WORDS))])
+
 
+def folded(sketched: DataFrame) -> DataFrame:
+    """Sketches of half as many slots, each for two."""
+    halves = zip(_FOLDED, _WORDS[len(_FOLDED) :])
+    return sketched.select("a", "n", *[F.col(k).bitwiseOR(F.col(k2)).alias(k) for k, k2 in halves])
 
-def _side(prefix: str, *names: str) -> list[Column]:
-    return [F.col(k).alias(f"{prefix}_{k}") for k in ("a", "c", "n", *names, *_WORDS)]
 
+def _side(prefix: str, *names: str, words: Sequence[str] = _WORDS) -> list[Column]:
+    return [F.col(k).alias(f"{prefix}_{k}") for k in ("a", "c", "n", *names, *words)]
 
-def _may_match(similarity: float) -> Column:
+
+def _may_match(similarity: float, words: Sequence[str] = _WORDS) -> Column:
     """Whether sides l and r may be similar: of n shingles in all, similar lines differ in n * (1 - s) / (1 + s) at most."""
-    differing = sum((F.bit_count(F.col(f"l_{k}").bitwiseXOR(F.col(f"r_{k}"))) for k in _WORDS[1:]), F.bit_count(F.col("l_k0").bitwiseXOR(F.col("r_k0"))))
+    differing = sum((F.bit_count(F.col(f"l_{k}").bitwiseXOR(F.col(f"r_{k}"))) for k in words[1:]), F.bit_count(F.col("l_k0").bitwiseXOR(F.col("r_k0"))))
     return differing <= (F.col("l_n") + F.col("r_n")) * ((1 - similarity) / (1 + similarity)) + 1e-9
 
 
 def _bucket_pairs(rest: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
     """x, y: the pairs of different components in a bucket that may be similar; one of the two is outside the head's component."""
-    rest = rest.join(sketched, "a")
-    l = rest.filter("c <> hc").select("key", *_side("l"))  # noqa: E741
-    r = rest.filter("a <> head").select("key", *_side("r"), "hc")
-    met = l.join(r, "key").filter("l_c <> r_c and (r_c = hc or l_a > r_a)").filter(_may_match(similarity))
+    rest = rest.join(folded(sketched), "a")
+    l = rest.filter("c <> hc").select("key", *_side("l", words=_FOLDED))  # noqa: E741
+    r = rest.filter("a <> head").select("key", *_side("r", words=_FOLDED), "hc")
+    met = l.join(r, "key").filter("l_c <> r_c and (r_c = hc or l_a > r_a)").filter(_may_match(similarity, _FOLDED))
     return met.select(F.greatest("l_a", "r_a").alias("x"), F.least("l_a", "r_a").alias("y"))
 
 
-def prefix_pairs(lines: DataFrame, nodes: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
-    """x, y: a superset of the similar pairs of different components among nodes (a, c), by exact prefix filtering.
+def may_match(pairs: DataFrame, sketched: DataFrame, similarity: float, *names: str) -> DataFrame:
+    """The pairs x, y (and the named columns) that their sketches do not rule out."""
+    side = lambda p, k: sketched.select(F.col("a").alias(k), F.col("n").alias(f"{p}_n"), *[F.col(w).alias(f"{p}_{w}") for w in _WORDS])
+    return pairs.join(side("l", "x"), "x").join(side("r", "y"), "y").filter(_may_match(similarity)).select("x", "y", *names)
+
+
+def parities(sets: DataFrame) -> DataFrame:
+    """a and sketches of sets (a, ws: distinct shingles) that tell more apart: bits set if an odd number of the set fall there."""
+    w = F.col("w")
+    slot, bit = F.shiftrightunsigned(w, 6).bitwiseAND(F.lit(len(_FOLDED) - 1)), F.expr("shiftleft(1L, int(w & 63L))")
+    words = [F.coalesce(F.bit_xor(F.when(slot == j, bit)), F.lit(0).cast("long")).alias(k) for j, k in enumerate(_FOLDED)]
+    return sets.select("a", F.explode("ws").alias("w")).groupBy("a").agg(*words)
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """a, n (distinct shingles), short, at, w, b1, b2 ..: the first shingles w of sets (a, ws) at their places at, for exact prefix filtering.
 
     A line's shingles are put in one order, rare ones first. The first common shingle of two similar lines then stands
-    among the first of both, with enough shingles behind it for the overlap that the similarity asks for.
+    among the first of both, in one of them before short, with enough shingles behind it for the overlap that the
+    similarity asks for. b1, b2 ..: the shingles just before w in that order.
     """
-    sets = stash(lines.select("a", "line").join(nodes, "a").select("a", "c", _shingles(F.col("line")).alias("ws")), "line-sets")
     counts = sets.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("f"))
-    ordered = sets.select("a", "c", F.explode("ws").alias("w")).join(counts, "w").groupBy("a", "c").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
+    ordered = sets.select("a", F.explode("ws").alias("w")).join(counts, "w").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("f", "w"))).alias("ws"))
     n = F.size("ws")
     least = lambda share: n - F.ceil(n * share - 1e-9).cast("int") + 1
-    first = ordered.select("a", "c", n.alias("n"), least(2 * similarity / (1 + similarity)).alias("short"), F.posexplode(F.slice("ws", 1, least(similarity))).alias("at", "s"))
-    first = stash(first.filter("s.f > 1").select("a", "c", "n", "short", "at", F.col("s.w").alias("w")), "line-prefixes")
-    first = first.join(sketched.drop("n"), "a")
-    l = first.filter("at < short").select("w", *_side("l", "at"))  # noqa: E741
-    r = first.select("w", *_side("r", "at"))
+    head = ordered.select("a", n.alias("n"), least(2 * similarity / (1 + similarity)).alias("short"), F.slice("ws", 1, least(similarity)).alias("ws"))
+    first = head.select("a", "n", "short", F.col("ws.w").alias("all"), F.posexplode("ws").alias("at", "s")).filter("s.f > 1")
+    return first.select("a", "n", "short", "at", F.col("s.w").alias("w"), *[F.get("all", F.col("at") - k).alias(f"b{k}") for k in range(1, BEFORE + 1)])
+
+
+def prefix_stars(first: DataFrame, nodes: DataFrame, sketched: DataFrame, similarity: float) -> DataFrame:
+    """x, y: each of nodes (a, c) with a line of another component: of the least ones by component of its rare shingles
+    that its sketch does not rule out, the one met in most of them. At most one pair a line, whatever the size of its groups."""
+    placed = first.select("a", "w").join(nodes, "a")
+    heads = placed.groupBy("w").agg(F.min("c").alias("hc"), F.min_by("a", "c").alias("y"))
+    met = placed.join(heads, "w").filter("c <> hc").groupBy(F.col("a").alias("x"), "y").agg(F.count("*").alias("n"))
+    return may_match(met, sketched, similarity, "n").groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+
+
+def prefix_pairs(first: DataFrame, nodes: DataFrame, parity: DataFrame, similarity: float) -> DataFrame:
+    """x, y: a superset of the similar pairs of different components among nodes (a, c), by their prefixes.
+
+    A pair is not met where both remember a common shingle before; at its first common one there is none."""
+    first = first.join(nodes, "a").join(parity, "a")
+    before = [f"b{k}" for k in range(1, BEFORE + 1)]
+    l = first.filter("at < short").select("w", *_side("l", "at", *before, words=_FOLDED))  # noqa: E741
+    r = first.select("w", *_side("r", "at", *before, words=_FOLDED))
     met = l.join(r, "w").filter("l_c <> r_c and (l_n < r_n or (l_n = r_n and l_a < r_a))")
     met = met.filter((F.col("l_n") >= F.col("r_n") * similarity - 1e-9) & (F.least(F.col("l_n") - F.col("l_at"), F.col("r_n") - F.col("r_at")) >= (F.col("l_n") + F.col("r_n")) * (similarity / (1 + similarity)) - 1e-9))
-    met = met.filter(_may_match(similarity))
+    again = " or ".join(f"l_{x} = r_{y}" for x in before for y in before)
+    met = met.filter(f"not coalesce({again}, false)").filter(_may_match(similarity, _FOLDED))
     return met.select(F.greatest("l_a", "r_a").alias("x"), F.least("l_a", "r_a").alias("y"))
 
 
-def remaining(rest: DataFrame, lines: DataFrame, similarity: float, at_once: int = AT_ONCE) -> DataFrame:
-    """x, y: what is left to verify in unresolved buckets; all pairs of small ones, prefix pairs of the lines of large ones,
-    in both without those that the sketches rule out. lines: a, line, each line once."""
-    open_ = rest.select(F.col("a").alias("_n")).distinct()
-    sketched = stash(sketches(lines.join(open_, lines["a"] == open_["_n"], "left_semi")), "line-sketches")
+def _merged(nodes: DataFrame, column: str, links: DataFrame) -> DataFrame:
+    """nodes whose component in the column is the one that links (x, y: components) give it."""
+    names = connected_components(links, "x", "y").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    return nodes.join(names, nodes[column] == names["_old"], "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
+
+
+def star_links(first: DataFrame, nodes: DataFrame, sketched: DataFrame, lines: DataFrame, similarity: float) -> tuple[list[DataFrame], DataFrame]:
+    """Links (x, y) found among nodes (a, c) in STARS rounds of prefix_stars, and the nodes with the components that they make."""
+    found: list[DataFrame] = []
+    for _ in range(STARS):
+        links = stash(verified(stash(prefix_stars(first, nodes, sketched, similarity), "line-star-pairs"), lines, similarity), "line-star-links")
+        if links.isEmpty():
+            break
+        found.append(links)
+        name = lambda k: nodes.select(F.col("a").alias(k), F.col("c").alias(f"c{k}"))
+        between = links.join(name("x"), "x").join(name("y"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
+        nodes = stash(_merged(nodes, "c", between), "line-large")
+    return found, nodes
+
+
+def remaining(rest: DataFrame, lines: DataFrame, similarity: float, at_once: int = AT_ONCE, sketched: DataFrame | None = None) -> DataFrame:
+    """x, y: what is left to verify in unresolved buckets; all pairs of small ones, and of the lines of large ones star
+    links and the prefix pairs that these leave in different components, in all without those that the sketches rule out.
+    lines: a, line, each line once."""
+    if sketched is None:
+        sketched = stash(sketches(lines), "line-sketches")
     pairs = _bucket_pairs(rest.filter(F.col("work") <= at_once), sketched, similarity)
     large = stash(rest.filter(F.col("work") > at_once).select("a", "c").distinct(), "line-large")
     if not large.isEmpty():
-        pairs = pairs.unionByName(prefix_pairs(lines, large, sketched, similarity))
-    return pairs.distinct()
+        sets = stash(lines.select("a", "line").join(large.select("a"), "a").select("a", _shingles(F.col("line")).alias("ws")), "line-sets")
+        first = stash(prefixes(sets, similarity), "line-prefixes")
+        links, large = star_links(first, large, sketched, lines, similarity)
+        for more in (*links, prefix_pairs(first, large, stash(parities(sets), "line-parities"), similarity)):
+            pairs = pairs.unionByName(more)
+    # held to the whole sketches once more: the buckets had them folded
+    return may_match(pairs.distinct(), sketched, similarity)
 
 
 def _shingles(line: Column) -> Column:
     # the encoded line is bound once, not encoded again for every shingle
-    hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _last(u)), lambda i: _shingle(u, i)))
+    hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(1), _last(u) * 2 + 1, F.lit(2)), lambda i: _shingle_from(u, i)))
     return F.element_at(F.transform(F.array(_units(line)), hashes), 1)
 
 
@@ -234,15 +333,17 @@ def _place() -> Column:
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no of the lines that stay: one for every component."""
-    lines, first = nodes(docs)
-    members = stash(bucket_members(stash(band_keys(lines), "line-bands")), "line-members")
+    lines, signed = signed_nodes(docs)
+    first = signed.select("a", "at")
+    members = stash(bucket_members(signed.select("a", F.explode("keys").alias("key"))), "line-members")
     # fetched once for both rounds: every member meets its head in the first
     texts = stash(texts_of(members, lines), "line-texts")
-    links = verified(stash(candidates(members), "line-pairs"), texts, similarity)
+    sketched = stash(sketches(texts), "line-sketches")
+    links = stash(verified(stash(may_match(candidates(members), sketched, similarity), "line-pairs"), texts, similarity), "line-links")
     components = stash(connected_components(links, "x", "y"), "line-components")
     rest = stash(unresolved(members, components), "line-rest")
     if not rest.isEmpty():
-        more = stash(verified(stash(remaining(rest, texts, similarity), "line-more-pairs"), texts, similarity), "line-more-links")
+        more = stash(verified(stash(remaining(rest, texts, similarity, sketched=sketched), "line-more-pairs"), texts, similarity), "line-more-links")
         if not more.isEmpty():
             stars = components.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
             components = stash(connected_components(stars.unionByName(more), "x", "y"), "line-all-components")

@@ -146,6 +146,25 @@ def test_buckets_with_a_dissimilar_head(spark):
     assert by_prefix == by_bucket and len(by_prefix) >= 120
 
 
+def test_alike_lines_of_a_large_bucket_are_not_all_paired(spark):
+    """80 lines, all similar to each other and none to the head of their bucket, with 3,160 similar pairs."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    base = [word() for _ in range(60)]
+    lines = [" ".join([*base[:k % 60], word(), *base[k % 60 + 1 :]]) for k in range(80)]
+    df = L.lines_of(spark.createDataFrame([(0, "\n".join(lines))], "doc_id long, text string"))
+    nodes = [r["a"] for r in df.collect()]
+    rest = spark.createDataFrame([(1, a, 0, a, 0, 1 << 40) for a in nodes], "key long, a long, head long, c long, hc long, work long")
+    pairs = L.remaining(rest, df, 0.8)
+    links = {tuple(r) for r in L.verified(pairs, df, 0.8).collect()}
+    assert pairs.count() <= 4 * len(lines)
+    reached, more = {nodes[0]}, True
+    while more:
+        more = {n for link in links if reached & set(link) for n in link} - reached
+        reached |= more
+    assert reached == set(nodes)
+
+
 def test_sketches_rule_out_no_similar_pair(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randint(2, 8)))
