@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,24 +16,26 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+def _large_star(edges: DataFrame, fit: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    both = fit(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    least = fit(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+    met = fit(both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v"))
+    return fit(met.distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, fit: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = fit(down.groupBy("u").agg(F.min("v").alias("m")))
     linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+    return fit(fit(linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v")).distinct())
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60, task_rows: int | None = None) -> DataFrame:
     """node, component (the smallest node reachable) for every node that has an edge to another.
 
     The number of rounds grows with the logarithm of the longest chain; every round is cut by a checkpoint in the shared
-    folder. Null ends and loops are ignored; repeated edges count once; an empty edge list gives no rows.
+    folder. Null ends and loops are ignored; repeated edges count once; an empty edge list gives no rows. With task_rows, a
+    round has a task for so many edges, not one for each of the session's shuffle partitions.
     """
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = checkpointed(edges)
@@ -39,7 +43,9 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
     for _ in range(max_rounds):
         if before[0] == 0:
             break
-        edges = checkpointed(_small_star(_large_star(edges)))
+        tasks = before[0] // task_rows + 1 if task_rows else None
+        fit = lambda df, n=tasks: df.coalesce(n) if n else df
+        edges = checkpointed(_small_star(_large_star(fit(edges), fit), fit))
         after = _state(edges)
         if after == before:
             break

@@ -38,13 +38,13 @@ from stackmill.llm.components import connected_components
 
 SHINGLE, SIMILARITY = 12, 0.8
 BANDS, ROWS = 6, 3
-#: Shingles hashed in one row of the plan.
-CHUNK = 16
+#: Shingles hashed in one row of the plan; code for more takes longer to become machine code.
+CHUNK = 4
 #: Bits of a node; 64 but in tests.
 NODE_BITS = 64
 #: Pairs of an unresolved bucket that are verified as they are; lines of larger buckets go by their rare shingles.
 AT_ONCE = 1024
-#: Rounds in which lines of large unresolved buckets meet the head of a rare shingle before all their pairs do.
+#: Rounds at most in which lines of large unresolved buckets meet the head of a rare shingle before all their pairs do.
 STARS = 2
 #: Rare shingles that a line of the prefix join remembers, so that a pair is met about once.
 BEFORE = 3
@@ -53,14 +53,18 @@ SKETCH = 2048
 _WORDS = [f"k{j}" for j in range(SKETCH // 64)]
 #: Words of the sketch folded in two, for joins with a condition on it: what is compiled for more is too long to become machine code.
 _FOLDED = _WORDS[: len(_WORDS) // 2]
-
+#: Rows of keys that are broadcast at most; larger tables are joined by a shuffle.
+BROADCAST = 300_000
+#: Links that a task of the components has.
+LINKS = 100_000
 
 #: The blanks at the start of a line that has a word, and the first character of the word.
 WORD_LINE = r"(?md)^[\x20\x09\x0B-\x0D]*+[^\x20\x09-\x0D]"
 
 
 def has_word(line: Column) -> Column:
-    return line.rlike(r"[^\x20\x09-\x0D]")
+    # the first character mostly tells, without a pattern
+    return (F.ascii(line) > 32) | line.rlike(r"[^\x20\x09-\x0D]")
 
 
 def lines_of(docs: DataFrame, clashes: Sequence[DataFrame] = ()) -> DataFrame:
@@ -75,12 +79,12 @@ def lines_of(docs: DataFrame, clashes: Sequence[DataFrame] = ()) -> DataFrame:
     return lines
 
 
-def signed_nodes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def signed_nodes(docs: DataFrame, base: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The lines, and a, at (the first place), keys (of its bands) of every distinct line, with nodes that no two lines share."""
     clashes: list[DataFrame] = []
     while True:
         lines = lines_of(docs, clashes)
-        signed = stash(signatures(lines), "line-signed")
+        signed = stash(signatures(lines, base), "line-signed")
         clash = signed.filter("low <> high")
         if clash.isEmpty():
             return lines, signed.select("a", "at", "keys")
@@ -122,9 +126,9 @@ def _hashed(lines: DataFrame, chunk: int, *names: str) -> DataFrame:
     return chunks.select(*names, "last", *[_shingle(F.col("u"), F.least(F.col("_at") + k, F.col("last"))).alias(f"h{k}") for k in range(chunk)])
 
 
-def signatures(lines: DataFrame) -> DataFrame:
+def signatures(lines: DataFrame, base: int | None = None) -> DataFrame:
     """a, low and high (least and greatest second hash), at (the first place), keys (of the bands) of every distinct line."""
-    hashed = _hashed(lines.select("a", "b", _place().alias("place"), "line"), CHUNK, "a", "b", "place")
+    hashed = _hashed(lines.select("a", "b", _place(base).alias("place"), "line"), CHUNK, "a", "b", "place")
     near = lambda p: F.least(*[F.col(f"h{k}").bitwiseXOR(F.lit(p)) for k in range(CHUNK)])
     # ANSI casts must not overflow: the shifted value is masked to 31 bits first
     nearest = [F.shiftrightunsigned(F.min(near(p)), 24).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{k}") for k, p in enumerate(points())]
@@ -138,12 +142,21 @@ def band_keys(lines: DataFrame) -> DataFrame:
     return signatures(lines).select("a", F.explode("keys").alias("key"))
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stashed table of keys, to be broadcast where it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def bucket_members(keys: DataFrame) -> DataFrame:
     """key, a, head (the least line of the bucket), size, of every bucket of more than one line."""
     heads = keys.groupBy("key").agg(F.min("a").alias("head"), F.max("a").alias("tail"), F.count("*").alias("size"))
-    heads = stash(heads.filter("head <> tail").select(F.col("key").alias("_key"), "head", "size"), "line-buckets")
-    # the buckets of several lines are the smaller side: hashed, so that the keys are not sorted
-    return keys.join(heads.hint("shuffle_hash"), keys["key"] == heads["_key"]).select("key", "a", "head", "size")
+    heads = stash(heads.filter("head <> tail"), "line-buckets")
+    # of two lines the least and the greatest are all; only for larger buckets the keys are gone through once more
+    two = heads.filter("size = 2").select("key", F.explode(F.array("head", "tail")).alias("a"), "head", "size")
+    large = stash(heads.filter("size > 2").select(F.col("key").alias("_key"), "head", "size"), "line-large-buckets")
+    more = _few(large)
+    more = more if more is not large else large.hint("shuffle_hash")
+    return two.unionByName(keys.join(more, keys["key"] == large["_key"]).select("key", "a", "head", "size"))
 
 
 def candidates(members: DataFrame) -> DataFrame:
@@ -163,17 +176,11 @@ def unresolved(members: DataFrame, components: DataFrame) -> DataFrame:
 
 def sketches(lines: DataFrame) -> DataFrame:
     """a, n (shingles, repeats included) and the words of the sketch of every line (a, line; each once)."""
-    chunk = 4
-
-    def word(j: int) -> Column:
-        set_ = None
-        for k in range(chunk):
-            h = F.col(f"h{k}")
-            bit = F.when(F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(len(_WORDS) - 1)) == j, F.expr(f"shiftleft(1L, int(h{k} & 63L))")).otherwise(F.lit(0).cast("long"))
-            set_ = bit if set_ is None else set_.bitwiseOR(bit)
-        return F.bit_or(set_).alias(_WORDS[j])
-
-    return _hashed(lines, chunk, "a").groupBy("a").agg((F.max("last") + 1).cast("long").alias("n"), *[word(j) for j in range(len(_WORDS))])
+    # dealt by line once: its bits are gathered by word, then its words side by side, where they are
+    hashed = _hashed(lines.select("a", "line").repartition("a"), 1, "a").select("a", "last", "h0", F.shiftrightunsigned("h0", 6).bitwiseAND(F.lit(len(_WORDS) - 1)).cast("int").alias("j"))
+    by_word = hashed.groupBy("a", "j").agg(F.max("last").alias("last"), F.bit_or(F.expr("shiftleft(1L, int(h0 & 63L))")).alias("bits"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("j") == j, F.col("bits"))), F.lit(0).cast("long")).alias(k) for j, k in enumerate(_WORDS)]
+    return by_word.groupBy("a").agg((F.max("last") + 1).cast("long").alias("n"), *words)
 
 
 def folded(sketched: DataFrame) -> DataFrame:
@@ -257,7 +264,7 @@ def prefix_pairs(first: DataFrame, nodes: DataFrame, parity: DataFrame, similari
 
 def _merged(nodes: DataFrame, column: str, links: DataFrame) -> DataFrame:
     """nodes whose component in the column is the one that links (x, y: components) give it."""
-    names = connected_components(links, "x", "y").select(F.col("node").alias("_old"), F.col("component").alias("_new"))
+    names = connected_components(links, "x", "y", task_rows=LINKS).select(F.col("node").alias("_old"), F.col("component").alias("_new"))
     return nodes.join(names, nodes[column] == names["_old"], "left").withColumn(column, F.coalesce("_new", column)).drop("_old", "_new")
 
 
@@ -272,6 +279,8 @@ def star_links(first: DataFrame, nodes: DataFrame, sketched: DataFrame, lines: D
         name = lambda k: nodes.select(F.col("a").alias(k), F.col("c").alias(f"c{k}"))
         between = links.join(name("x"), "x").join(name("y"), "y").select(F.col("cx").alias("x"), F.col("cy").alias("y"))
         nodes = stash(_merged(nodes, "c", between), "line-large")
+        if 4 * links.count() < nodes.count():
+            break  # few lines have merged: a further round costs more than the pairs that it would spare
     return found, nodes
 
 
@@ -284,9 +293,13 @@ def remaining(rest: DataFrame, lines: DataFrame, similarity: float, at_once: int
     pairs = _bucket_pairs(rest.filter(F.col("work") <= at_once), sketched, similarity)
     large = stash(rest.filter(F.col("work") > at_once).select("a", "c").distinct(), "line-large")
     if not large.isEmpty():
-        sets = stash(lines.select("a", "line").join(large.select("a"), "a").select("a", _shingles(F.col("line")).alias("ws")), "line-sets")
+        # of the tables by line only what is of these lines is shuffled from here on
+        own = _few(large).select(F.col("a").alias("_own"))
+        texts = stash(lines.select("a", "line").join(own, lines["a"] == F.col("_own"), "left_semi"), "line-large-texts")
+        large_sketches = stash(sketched.join(own, sketched["a"] == F.col("_own"), "left_semi"), "line-large-sketches")
+        sets = stash(texts.select("a", _shingles(F.col("line")).alias("ws")), "line-sets")
         first = stash(prefixes(sets, similarity), "line-prefixes")
-        links, large = star_links(first, large, sketched, lines, similarity)
+        links, large = star_links(first, large, large_sketches, texts, similarity)
         for more in (*links, prefix_pairs(first, large, stash(parities(sets), "line-parities"), similarity)):
             pairs = pairs.unionByName(more)
     # held to the whole sketches once more: the buckets had them folded
@@ -310,8 +323,10 @@ def jaccard(left: Column, right: Column) -> Column:
 
 def texts_of(members: DataFrame, lines: DataFrame) -> DataFrame:
     """a, line: the distinct lines that are members of some bucket."""
-    nodes = members.select(F.col("a").alias("_n")).distinct()
-    return lines.select("a", "line").join(nodes.hint("shuffle_hash"), lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
+    nodes = stash(members.select(F.col("a").alias("_n")).distinct(), "line-nodes")
+    few = _few(nodes)
+    few = few if few is not nodes else nodes.hint("shuffle_hash")
+    return lines.select("a", "line").join(few, lines["a"] == nodes["_n"], "left_semi").groupBy("a").agg(F.min("line").alias("line"))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
@@ -325,39 +340,76 @@ def verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame
 _LEAST_ID = -(1 << 63)
 
 
-def _place() -> Column:
-    """Document and line as one number in their order, which aggregates without sorting; a null id is below every id."""
+def place_base(docs: DataFrame) -> int | None:
+    """The number taken from document ids so that a place fits in 64 bits; none where the ids are too far apart."""
+    low, high = docs.select(F.col("doc_id").cast("long").alias("d")).agg(F.min("d"), F.max("d")).first()
+    return None if low is None or high - low >= (1 << 32) - 1 else low - 1
+
+
+def _place(base: int | None = None) -> Column:
+    """Document and line as one number in their order, which aggregates without sorting; a null id is below every id.
+    With a base (place_base), ids count from there and the number is a long."""
+    if base is not None:
+        # two steps: the base itself may be below the least long
+        doc = F.coalesce(F.col("doc_id") - F.lit(base + 1) + F.lit(1).cast("long"), F.lit(0).cast("long"))
+        return doc * F.lit(1 << 31) + F.col("line_no")
     doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(_LEAST_ID - 1)).cast("decimal(20,0)"))
     return (doc * F.lit(1 << 31).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(31,0)")
 
 
+def _placed(base: int | None) -> list[Column]:
+    """doc_id and line_no of a place."""
+    if base is not None:
+        doc = F.shiftrightunsigned("at", 31)
+        return [F.when(doc > 0, doc - F.lit(1).cast("long") + F.lit(base + 1)).alias("doc_id"), F.col("at").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("line_no")]
+    line_no = F.pmod("at", F.lit(1 << 31)).cast("int")
+    doc = ((F.col("at") - line_no) / F.lit(1 << 31)).cast("decimal(20,0)")
+    return [F.when(doc >= F.lit(str(_LEAST_ID)).cast("decimal(20,0)"), doc.cast("long")).alias("doc_id"), line_no.alias("line_no")]
+
+
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, line_no of the lines that stay: one for every component."""
-    lines, signed = signed_nodes(docs)
+    base = place_base(docs)
+    lines, signed = signed_nodes(docs, base)
     first = signed.select("a", "at")
     members = stash(bucket_members(signed.select("a", F.explode("keys").alias("key"))), "line-members")
     # fetched once for both rounds: every member meets its head in the first
     texts = stash(texts_of(members, lines), "line-texts")
     sketched = stash(sketches(texts), "line-sketches")
     links = stash(verified(stash(may_match(candidates(members), sketched, similarity), "line-pairs"), texts, similarity), "line-links")
-    components = stash(connected_components(links, "x", "y"), "line-components")
+    components = stash(connected_components(links, "x", "y", task_rows=LINKS), "line-components")
     rest = stash(unresolved(members, components), "line-rest")
     if not rest.isEmpty():
         more = stash(verified(stash(remaining(rest, texts, similarity, sketched=sketched), "line-more-pairs"), texts, similarity), "line-more-links")
         if not more.isEmpty():
             stars = components.filter("node <> component").select(F.col("node").alias("x"), F.col("component").alias("y"))
-            components = stash(connected_components(stars.unionByName(more), "x", "y"), "line-all-components")
-    placed = first.join(components, first["a"] == components["node"], "left")
-    alone = placed.filter("component is null").select("at")
-    kept = alone.unionByName(placed.filter("component is not null").groupBy("component").agg(F.min("at").alias("at")).select("at"))
-    line_no = F.pmod("at", F.lit(1 << 31)).cast("int")
-    return kept.select(((F.col("at") - line_no) / F.lit(1 << 31)).cast("decimal(20,0)").alias("d"), line_no.alias("line_no")).select(F.when(F.col("d") >= F.lit(str(_LEAST_ID)).cast("decimal(20,0)"), F.col("d").cast("long")).alias("doc_id"), "line_no")
+            components = stash(connected_components(stars.unionByName(more), "x", "y", task_rows=LINKS), "line-all-components")
+    # of each component all lines but the first go
+    placed = first.join(_few(components), first["a"] == components["node"]).select("component", "a", "at")
+    placed = stash(placed, "line-placed")
+    stays = placed.groupBy("component").agg(F.min_by("a", "at").alias("_stays")).withColumnRenamed("component", "_c")
+    gone = stash(placed.join(stays, placed["component"] == stays["_c"]).filter("a <> _stays").select(F.col("a").alias("_gone")), "line-gone")
+    return first.join(_few(gone), first["a"] == gone["_gone"], "left_anti").select(*_placed(base))
+
+
+def line_count(text: Column) -> Column:
+    """Lines with a word. Where every line starts with a word, which a search for bytes tells, they are the newlines and one."""
+    text = F.coalesce(text, F.lit(""))
+    blanks = ("\n", " ", "\t", "\x0b", "\x0c", "\r")
+    doubtful = (text == "") | text.endswith("\n")
+    for blank in blanks:
+        doubtful = doubtful | text.startswith(blank) | text.contains("\n" + blank)
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(doubtful, F.regexp_count(text, F.lit(WORD_LINE))).otherwise(newlines + 1).cast("long")
 
 
 def line_report(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_lines (lines with a word), kept (numbers of the lines that stay, in order) of every document."""
-    kept = kept_lines(docs, similarity).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("kept"))
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD_LINE)).cast("long").alias("n_lines"))
+    # the numbers of a document as bits, 64 to a row, before they are listed
+    bits = kept_lines(docs, similarity).repartition("doc_id").groupBy("doc_id", F.shiftright("line_no", 6).alias("j")).agg(F.bit_or(F.expr("shiftleft(1L, line_no & 63)")).alias("bits"))
+    listed = F.expr("flatten(transform(_words, w -> transform(filter(sequence(0, 63), k -> (shiftrightunsigned(w.bits, k) & 1L) = 1L), k -> k + w.j * 64)))")
+    kept = bits.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("j", "bits"))).alias("_words")).select("doc_id", listed.alias("kept"))
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), line_count(F.col("text")).alias("n_lines"))
     kept = kept.withColumnRenamed("doc_id", "_doc")
     return counts.join(kept, counts["doc_id"].eqNullSafe(kept["_doc"]), "left").select("doc_id", "n_lines", F.coalesce("kept", F.array().cast("array<int>")).alias("kept"))
 

@@ -196,3 +196,35 @@ def test_user_columns_with_internal_names(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, _kept long, _doc long, a long, `line.no` string")
     got = sorted(map(tuple, L.dedup_lines(docs).collect()))
     assert got == [rows[0], (2, "nothing alike at all", 4, 5, 6, "y")]
+
+
+def test_few_files_and_no_shuffle_of_texts(spark, monkeypatch):
+    """Where buckets are few, neither the texts nor the keys of all lines are shuffled, and a round of components takes one task."""
+    from stackmill.llm import components as C
+
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    lines, signed = L.signed_nodes(docs)
+    keys = signed.selectExpr("a", "explode(keys) AS key")
+    for df in (L.bucket_members(keys), L.texts_of(L.stash(L.bucket_members(keys), "test-members"), lines)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "ShuffledHashJoin" not in plan and "SortMergeJoin" not in plan
+    tasks = []
+    monkeypatch.setattr(C, "checkpointed", lambda df, f=C.checkpointed: tasks.append((out := f(df)).rdd.getNumPartitions()) or out)
+    edges = L.stash(spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "x long, y long"), "test-edges")
+    got = {tuple(r) for r in C.connected_components(edges, "x", "y", task_rows=1000).collect()}
+    assert got == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)} and set(tasks[1:]) == {1}
+    assert {tuple(r) for r in C.connected_components(edges, "x", "y", task_rows=7).collect()} == got
+
+
+def test_places_of_ids_near_and_far(spark):
+    near = [(-5, "b\na"), (None, "a\nc"), (2, "c\nd\n" + "\n".join(f"line {k} of many" * 3 + str(k) * 40 for k in range(130)))]
+    for extra in ([], [(2**63 - 1, "e")], [(-(2**63), "a\nf"), (2**63 - 1, "e")]):
+        rows = near + extra
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert (L.place_base(docs) is None) == bool(extra)
+        null = -(2**63) - 1
+        want = {(None if d == null else d, k) for d, k in brute([(null if d is None else d, x) for d, x in rows])}
+        assert {tuple(r) for r in L.kept_lines(docs).collect()} == want
+        assert {(r["doc_id"], k) for r in L.line_report(docs).collect() for k in r["kept"]} == want
+    low = spark.createDataFrame([(-(2**63), "x y"), (-(2**63) + 3, "x y\nz")], "doc_id long, text string")
+    assert L.place_base(low) == -(2**63) - 1 and {tuple(r) for r in L.kept_lines(low).collect()} == {(-(2**63), 0), (-(2**63) + 3, 1)}
