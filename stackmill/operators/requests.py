@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackmill.functions.text import WS
+from stackmill.functions.text import WS, upper
 from stackmill.plans import views
 from stackmill.plans.views import with_views
 
@@ -119,7 +119,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.element_at(F.array(*map(F.lit, ("三", "十", "十二", "二十", "7", "两", "0", "百"))), (F.floor(F.col("item_id") / 4) % 8 + 1).cast("int"))
     question = (
         F.when(F.col("item_id") % 4 == 0, F.concat(F.lit(" 第"), number, F.lit("章从哪页开始？")))
-        .when(F.col("item_id") % 4 == 1, F.concat(F.lit('Which page does "'), F.concat_ws(" ", word(0), word(1)), F.lit('" start, and "'), F.concat_ws(" ", F.upper(word(0)), F.upper(word(1))), F.lit('"?')))
+        .when(F.col("item_id") % 4 == 1, F.concat(F.lit('Which page does "'), F.concat_ws(" ", word(0), word(1)), F.lit('" start, and "'), F.concat_ws(" ", upper(word(0)), upper(word(1))), F.lit('"?')))
         .when(F.col("item_id") % 4 == 2, F.concat(F.lit("关于"), word(0), F.lit("章节 目录 页码")))
         .otherwise(F.col("text"))
     )

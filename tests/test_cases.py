@@ -193,6 +193,27 @@ def test_entry_without_the_optional_parts(monkeypatch):
     assert not [n for n in entry.queries() if n.startswith("op") or n == "pipeline"] and entry.oracle_sql()
 
 
+def test_upper_case_letter_by_letter(spark):
+    letters = [chr(c) for c in range(1, 0x3000) if chr(c).upper() != chr(c)]
+    words = [(k, f"a{c}b") for k, c in enumerate(["ß", "ᾳ", "ﬁ", "é", *letters])]
+    got = [r["x"] for r in spark.createDataFrame(words, "k int, w string").orderBy("k").select(T.upper(F.col("w")).alias("x")).collect()]
+    assert got[:4] == ["AẞB", "AᾼB", "AﬁB", "AÉB"]
+    assert {w for (_, w), u in zip(words, got) if len(u) != 3} == set()
+
+
+def test_contents_question_with_sharp_s(spark, tmp_path):
+    import duckdb
+
+    from stackmill.operators import requests as Q
+
+    spark.createDataFrame([(1, "Enlich schß. der")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW benchmark AS SELECT * FROM read_parquet('{tmp_path}/benchmark.parquet/*.parquet')")
+    want = duck.execute(f"SELECT query_id, chapter, n_terms, terms FROM ({Q.ORACLES['h17_toc_query']})").fetchall()
+    got = [tuple(r) for r in Q.h17_toc_query(spark, str(tmp_path)).select("query_id", "chapter", "n_terms", "terms").collect()]
+    assert got == want and got[0][2] == 2
+
+
 def test_contents_questions(spark):
     from stackmill.operators.requests import toc_requests
 
