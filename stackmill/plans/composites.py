@@ -97,7 +97,8 @@ def x2_relaxed_batch(spark, sf_dir):
     c = S._chunks(spark, sf_dir)
     q = views.queries(spark, sf_dir)
     f = S.ChunkFilter(asset_types=("table",), page_gte=2)
-    both = S.relaxed(S.top_k(S.bm25(c.filter(f.condition()), q), S.FINAL_K), S.top_k(S.bm25(c, q), S.FINAL_K))
+    strict, broad = S.best_text(c, q, S.FINAL_K, (f.condition(), None))
+    both = S.relaxed(S.kept(strict), broad)
     batch = both.select(views.int_div(F.col("query_id"), 150).alias("run"), (views.int_div(F.col("query_id"), 50) % 3).alias("branch"), "rank", "chunk_id", F.round("score", 6).alias("score"), "relaxed")
     marked = S.annotate_duplicates(batch)
     return marked.groupBy("run").agg(F.count("*").alias("raw"), F.count_if(F.col("dup_of").isNull()).alias("unique_hits"), F.count_if(F.col("relaxed")).alias("relaxed"), F.max("score").alias("best"))
