@@ -79,8 +79,8 @@ def h06_retrieve_once(spark, sf_dir):
 
     c = S._chunks(spark, sf_dir).filter(S.ChunkFilter(page_lte=3).condition())
     q = views.queries(spark, sf_dir)
-    hits = S.top_k(S.bm25(c, q), S.RETRIEVE_K)
-    loaded = c.join(S.few_hits(hits, q, S.RETRIEVE_K), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+    hits = S.kept(S.best_text(c, q, S.RETRIEVE_K)[0])
+    loaded = S.hit_chunks(spark, sf_dir, hits, S.RETRIEVE_K).select("query_id", "rank", "chunk_id", "text")
     return rerank(loaded, q).select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"))
 
 
