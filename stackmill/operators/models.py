@@ -125,10 +125,8 @@ def load_overlap_scorer() -> Scorer:
     return score
 
 
-def _loaded_hits(spark, sf_dir) -> DataFrame:
-    q = views.queries(spark, sf_dir)
-    hits = S._text_hits(spark, sf_dir, S.RETRIEVE_K)
-    return S._chunks(spark, sf_dir).join(S.few_hits(hits, q, S.RETRIEVE_K), "chunk_id").select("query_id", "rank", "chunk_id", "text")
+def _loaded_hits(spark, sf_dir, m=None) -> DataFrame:
+    return S.hit_chunks(spark, sf_dir, S._text_hits(spark, sf_dir, S.RETRIEVE_K, m), S.RETRIEVE_K).select("query_id", "rank", "chunk_id", "text")
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -148,8 +146,9 @@ def g03_injected_scorer(spark, sf_dir):
 
 def g03_rarity_rerank(spark, sf_dir):
     """The hits of each request put in order by the rarity of the terms they share with it."""
-    asked = termindex.asked_terms(S.stored_index(spark, sf_dir), views.queries(spark, sf_dir), {"text": 1.0})
-    return _ranked(rerank_by_rarity(_loaded_hits(spark, sf_dir), asked))
+    m = S.matched_fields(spark, sf_dir)
+    asked = termindex.asked_terms(S.stored_index(spark, sf_dir), views.queries(spark, sf_dir), {"text": 1.0}) if m is None else m.known("text")
+    return _ranked(rerank_by_rarity(_loaded_hits(spark, sf_dir, m), asked))
 
 
 QUERIES = {f.__name__: f for f in (g01_injected_encoder, g03_injected_scorer, g03_rarity_rerank)}

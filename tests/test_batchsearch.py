@@ -52,7 +52,7 @@ def test_no_requests(spark, given):
     assert S.best_text(given[0], spark.createDataFrame([(1, "")], "query_id long, query string"), 3)[0].collect() == []
 
 
-@pytest.mark.parametrize("name", ["h02_bm25", "h11_merge_batch", "h12_duplicates", "h07_relaxation", "x2_relaxed_batch", "h06_retrieve_once", "e13_result_listing", "g03_rerank"])
+@pytest.mark.parametrize("name", ["h02_bm25", "h11_merge_batch", "h12_duplicates", "h07_relaxation", "x2_relaxed_batch", "h06_retrieve_once", "e13_result_listing", "g03_rerank", "g03_rarity_rerank"])
 def test_no_postings_are_written_or_shuffled(spark, sf_dir, monkeypatch, name):
     def refuse(*_, **__):
         raise AssertionError("postings of all chunks")
