@@ -65,3 +65,28 @@ def test_no_postings_are_written_or_shuffled(spark, sf_dir, monkeypatch, name):
     assert registry.queries()[name](spark, sf_dir).count()
     # the whole table is cut once; what is loaded afterwards, from documents with hits only
     assert all("Join" in d._jdf.queryExecution().analyzed().toString() for d in cut[1:])
+
+
+@pytest.mark.parametrize("at_once", [256, 3])
+def test_vectors_are_exact(spark, monkeypatch, at_once):
+    import random
+
+    rng = random.Random(3)
+    monkeypatch.setattr(X, "QUERIES_AT_ONCE", at_once)
+    odd = [None, [], [0.0] * 8, [1.0] * 5, [1.0, None] + [2.0] * 6, [1.0] * 8, [1.0] * 8, [2.0] * 8, [-1.0] * 8]
+    made = [*odd, *([rng.gauss(0, 1) for _ in range(8)] for _ in range(300)), *([1.0] * 8 for _ in range(20))]
+    vectors = spark.createDataFrame(list(enumerate(made)), "chunk_id long, embedding array<float>").repartition(6)
+    asked = spark.createDataFrame(list(enumerate(made[:14])), "query_id long, vector array<float>")
+    assert rows(S.top_k(X.nearest(vectors, asked, 10, 100), 10)) == rows(S.vector_top_k(vectors, asked, 10))
+    assert X.nearest(vectors, asked, 10, 5) is None and X.nearest(vectors, asked.limit(0), 10, 5).collect() == []
+
+
+@pytest.mark.parametrize("name", ["h04_rrf", "h05_hybrid", "h08_load_ranked"])
+def test_pairs_of_vectors_are_not_rows(spark, sf_dir, monkeypatch, name):
+    def refuse(*_, **__):
+        raise AssertionError("a row for each pair")
+
+    monkeypatch.setattr(S, "vector_top_k", refuse)
+    monkeypatch.setattr(termindex, "write", refuse)
+    monkeypatch.setattr(S, "_STORED", {})
+    assert registry.queries()[name](spark, sf_dir).count()
