@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,15 +110,22 @@ def html_cells(html: Column) -> Column:
     return F.filter(F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), clean)), lambda r: F.size(r) > 0)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """What use makes of a value that is computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def markdown(rows: Column, width: Column | None = None) -> Column:
     """C9. Cells as a markdown table: ragged rows padded (to width, where more rows are not given), blank cells one space, a
     separator only above a body."""
-    width = F.array_max(F.transform(rows, lambda r: F.size(r))) if width is None else width
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
-    made = F.transform(rows, line)
-    all_lines = F.when(F.size(rows) > 1, F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, F.lit(2), F.size(made) - 1))).otherwise(made)
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(all_lines, "\n"))
+
+    def table(rows: Column, width: Column) -> Column:
+        line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))), lambda c: F.when(c == "", " ").otherwise(c)), " | "), F.lit(" |"))
+        rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), width), " | "), F.lit(" |"))
+        lines = lambda made: F.when(F.size(made) > 1, F.concat(F.slice(made, 1, 1), F.array(rule), F.slice(made, F.lit(2), F.size(made) - 1))).otherwise(made)
+        return F.when(F.size(rows) == 0, "").otherwise(F.array_join(bound(F.transform(rows, line), lines), "\n"))
+
+    return bound(rows, lambda rows: bound(F.array_max(F.transform(rows, lambda r: F.size(r))) if width is None else width, lambda width: table(rows, width)))
 
 
 def markdown_cells(md: Column) -> Column:

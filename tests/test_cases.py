@@ -355,3 +355,16 @@ def test_caption_fields_and_tables_with_nulls(spark):
     tables = [(1, 2, 1, "s" * 5000, 0.0, 0.0, 1.0, 1.0), (2, 1, 1, "s", 0.0, 0.0, 1.0, 1.0), (3, 1, 2, "\n", 0.0, 0.0, 1.0, 1.0), (4, 3, 3, "s", 1.0, 0.0, 1.0, 1.0), (5, 3, None, "s", 2.0, 2.0, 1.0, 1.0), (6, None, 3, "s", None, 0.0, 1.0, 1.0), (7, None, 2, None, 0.0, 0.0, 1.0, 1.0)]
     kept = E.admitted_tables(spark.createDataFrame(tables, "k int, rows int, cols int, summary string, x0 double, y0 double, x1 double, y1 double")).collect()
     assert [(r["k"], len(r["summary"])) for r in kept] == [(1, 4000)]
+
+
+def test_values_of_a_markdown_table_are_computed_once(spark):
+    rows = C.html_cells(F.col("html"))
+    plan = spark.createDataFrame([("<table><tr><td>a</td></tr><tr><td>b</td><td></td></tr></table>",)], "html string").select(C.markdown(rows).alias("x"))
+    assert plan.first()["x"] == "| a |   |\n| --- | --- |\n| b |   |"
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("<tr") == 1
+
+
+def test_markdown_of_no_rows(spark):
+    none = F.array().cast("array<array<string>>")
+    assert one(spark, C.markdown(none)) == "" and one(spark, C.markdown(none, F.lit(3))) == ""
+    assert one(spark, C.markdown(F.array(F.array(F.lit("a"))), F.lit(3))) == "| a |   |   |"
