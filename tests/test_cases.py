@@ -368,3 +368,32 @@ def test_markdown_of_no_rows(spark):
     none = F.array().cast("array<array<string>>")
     assert one(spark, C.markdown(none)) == "" and one(spark, C.markdown(none, F.lit(3))) == ""
     assert one(spark, C.markdown(F.array(F.array(F.lit("a"))), F.lit(3))) == "| a |   |   |"
+
+
+def test_merged_table_with_parts_of_a_header_alone(spark, monkeypatch):
+    import random
+
+    from stackmill.operators import layout
+
+    monkeypatch.setattr(C, "SUMMARY_CHARS", 60)
+    rng = random.Random(5)
+    for _ in range(3):
+        parts = [(p, [["h"]] * rng.choice([0, 1, 1, 2]) + [[str(p)]] * rng.randrange(3)) for p in range(40)]
+        written = [(1, p, "\n".join(f"| {r[0]} |" for r in rows)) for p, rows in parts]
+        lines, head = [], None
+        for p, rows in parts:
+            head, lines = head or (rows or [None])[0], lines + (rows[1:] if head and rows and rows[0] == head else rows)
+        want = ["| " + r[0] + " |" for r in lines]
+        got = layout.merged_markdown(spark.createDataFrame(written, "table_id long, part long, markdown string").repartition(4)).first()["markdown"]
+        assert got == "\n".join([want[0], "| --- |", *want[1:]])[:60]
+
+
+def test_parts_of_a_table_are_read_into_cells_once(spark, monkeypatch):
+    from stackmill.operators import layout
+
+    plans, kept = [], S.kept
+    monkeypatch.setattr(S, "kept", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or kept(df))
+    parts = spark.createDataFrame([(1, 1, "| a |\n| b |"), (1, 2, "| a |"), (1, 3, "")], "table_id long, part long, markdown string")
+    made = layout.merged_markdown(parts)
+    assert made.first()["markdown"] == "| a |\n| --- |\n| b |"
+    assert len(plans) == 1 and plans[0].count("split(") == 2 and "split(" not in made._jdf.queryExecution().optimizedPlan().toString()
